@@ -1,0 +1,11 @@
+"""All registered queries of the tabular engine."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
