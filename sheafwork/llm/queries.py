@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, quality
+from . import hilbert, langid, quality
 
 ORACLES: dict[str, str] = {}
 
@@ -10,6 +10,7 @@ ORACLES: dict[str, str] = {}
 def queries() -> dict:
     return {
         "op3_hilbert": hilbert.op3_hilbert,
+        "op4_langid": langid.op4_langid,
         "op9_quality": quality.op9_quality,
     }
 
