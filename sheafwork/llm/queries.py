@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import hilbert, langid, quality
+from . import hilbert, langid, quality, toxicity
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_hilbert": hilbert.op3_hilbert,
         "op4_langid": langid.op4_langid,
         "op9_quality": quality.op9_quality,

@@ -99,7 +99,7 @@ class Model:
         return float(np.clip(whole, 0, 1)), bag.count, float(p[worst]), int(start), int(end)
 
 
-def vocabulary(texts: list[str], toxic: np.ndarray, most: int = 40_000, least: int = 4) -> np.ndarray:
+def vocabulary(texts: list[str], toxic: np.ndarray, most: int = 20_000, least: int = 4) -> np.ndarray:
     """The `most` features by chi-square with the label among those in at least `least` texts."""
     keys, tally = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
     for at in range(0, len(texts), 200):
@@ -117,8 +117,8 @@ def vocabulary(texts: list[str], toxic: np.ndarray, most: int = 40_000, least: i
     return np.sort(keys[np.argsort(-gain, kind="stable")[:most]])
 
 
-def train(texts: list[str], toxic: np.ndarray, prior: float | None = None, rounds: int = 300) -> Model:
-    """Adagrad on the noisy-or log loss with an L2 penalty. `prior` is the share of toxic documents outside
+def train(texts: list[str], toxic: np.ndarray, prior: float | None = None, rounds: int = 300, sparse: float = 0.3, rate_w: float = 1.0, rate_b: float = 3.0) -> Model:
+    """Adagrad on the noisy-or log loss with an L1 penalty of `sparse` documents' weight. `prior` is the share of toxic documents outside
     the sample; the two kinds are weighted to it."""
     toxic = np.asarray(toxic, np.int64)
     if not len(texts) or toxic.min() == toxic.max():
@@ -144,12 +144,14 @@ def train(texts: list[str], toxic: np.ndarray, prior: float | None = None, round
         s = np.maximum(np.bincount(docs, np.logaddexp(0, z), len(texts)), 1e-9)  # -log of the chance of no toxic sentence
         slope = np.where(toxic == 1, -1 / np.expm1(np.minimum(s, 50)), 1.0) * weight
         dz = p * slope[docs]
-        dw, db = np.bincount(feature, dz[sentence], len(w)) + 1e-6 * w, dz.sum()
+        dw, db = np.bincount(feature, dz[sentence], len(w)), dz.sum()
         gw += dw**2
         gb += db**2
-        w -= 0.3 * dw / np.sqrt(gw)
-        b -= 0.3 * db / np.sqrt(gb)
-    keep = np.abs(w) > 1e-3
+        step = rate_w / np.sqrt(gw)
+        w -= step * dw
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse / len(texts), 0)  # most features end at 0
+        b -= rate_b * db / np.sqrt(gb)
+    keep = w != 0
     return Model(model.keys[keep], w[keep], float(b))
 
 
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """row (a struct of all columns of docs), score, sentences, worst, worst_start and worst_end (bytes of the
     lower-cased text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 40,000 weights
+    held = docs.sparkSession.sparkContext.broadcast(model)  # at most 20,000 weights
     plain = packed(docs, "text")
     kinds = {"score": DoubleType(), "sentences": LongType(), "worst": DoubleType(), "worst_start": LongType(), "worst_end": LongType()}
     schema = StructType([plain.schema["row"], *(StructField(n, t) for n, t in kinds.items())])
