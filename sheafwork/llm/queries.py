@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import hilbert, langid, quality, toxicity
+from . import hilbert, langid, mixing, packing, quality, tokens, toxicity
 
 ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict:
     return {
+        "op1_length_histogram": tokens.op1_length_histogram,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_hilbert": hilbert.op3_hilbert,
         "op4_langid": langid.op4_langid,
+        "op5_packing": packing.op5_packing,
+        "op7_mixing": mixing.op7_mixing,
         "op9_quality": quality.op9_quality,
     }
 
