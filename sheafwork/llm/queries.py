@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, langid, mixing, ngram_join, packing, quality, tokens, toxicity, url_tree
+from . import hilbert, hnsw, langid, mixing, ngram_join, packing, quality, tokens, toxicity, url_tree
 
 ORACLES: dict[str, str] = {}
 
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op5_packing": packing.op5_packing,
         "op6_url_tree": url_tree.op6_url_tree,
         "op7_mixing": mixing.op7_mixing,
+        "op8_hnsw": hnsw.op8_hnsw,
         "op9_quality": quality.op9_quality,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     }
