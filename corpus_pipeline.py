@@ -1,7 +1,57 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: toxicity, language, near duplicates, source mixture, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on every document that the stage before it kept, and returns the
+columns of `documents`; the last returns the packed pieces. ``run`` writes each stage's rows as Parquet in the
+shared folder and reads them again as the next one's input, so a lost executor never costs more than one stage.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from sheafwork.llm import langid, mixing, ngram_join, packing, toxicity
+from sheafwork.llm.common import stage_table, table
+
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a noisy-or toxicity of one half or more go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents too far from every language's centroids go."""
+    return langid.keep_identified(docs)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.keep_one(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mixture takes their source."""
+    return mixing.mixed_documents(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", clean_language),
+    ("language_id", known_language),
+    ("ngram_jaccard", distinct_documents),
+    ("source_mixing", source_mixture),
+    ("packing", packed_sequences),
+]
+
+#: The stages learn models, build signatures and pack by search: SQL can't express them. tests/llm holds each against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
