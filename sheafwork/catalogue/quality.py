@@ -181,13 +181,13 @@ def script_language(df):
 _STOPS = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
 
 
-@register("keywords", "part", f"SELECT p_partkey, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(lower(p_type || ' for the ' || p_name)), '\\s+'), w -> w <> ''), w -> regexp_replace(w, '[^a-z0-9_]', '', 'g')), w -> length(w) >= 2 AND w NOT IN {_STOPS}), ' ') AS words FROM part")
+@register("keywords", "part", f"SELECT p_partkey, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(lower(p_type || ' for the ' || p_name)), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^a-z0-9_]', '', 'g')), lambda w: length(w) >= 2 AND w NOT IN {_STOPS}), ' ') AS words FROM part")
 def keywords(df):
     t = F.concat_ws(" for the ", "p_type", "p_name")
     return df.select("p_partkey", F.array_join(text.keywords(t), " ").alias("words"))
 
 
-@register("cache_keys", "part", f"SELECT p_partkey, left(sha256(array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower('What is the price of ' || p_name || '?'), '[^a-z0-9\\s.]', '', 'g'), '\\s+'), w -> w <> '' AND w NOT IN {_STOPS})), ' ')), 32) AS cache_key FROM part")
+@register("cache_keys", "part", f"SELECT p_partkey, left(sha256(array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower('What is the price of ' || p_name || '?'), '[^a-z0-9\\s.]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN {_STOPS})), ' ')), 32) AS cache_key FROM part")
 def cache_keys(df):
     return df.select("p_partkey", text.cache_key(F.concat(F.lit("What is the price of "), F.col("p_name"), F.lit("?"))).alias("cache_key"))
 

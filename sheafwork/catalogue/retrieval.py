@@ -39,10 +39,10 @@ def vector_diverse(df):
 
 
 _TERMS = ["the", "and", "thing", "moron", "des"]
-_TF = ", ".join(f"len(list_filter(w, x -> x = '{t}')) AS tf{i}" for i, t in enumerate(sorted(_TERMS)))
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(sorted(_TERMS)))
 _N = len(_TERMS)
 _IDF = [f"(ln(n - df{i} + 0.5) - ln(df{i} + 0.5))" for i in range(_N)]
-_BM25 = f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), x -> x <> '') AS w FROM documents), t AS (SELECT doc_id, len(w) AS l, {_TF} FROM d),
+_BM25 = f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, len(w) AS l, {_TF} FROM d),
 s AS (SELECT count(*) AS n, avg(l) AS al, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(_N))} FROM t), m AS (SELECT *, ({' + '.join(_IDF)}) / {_N} AS mi FROM s)
 SELECT doc_id, round({' + '.join(f'(CASE WHEN {_IDF[i]} < 0 THEN 0.25 * mi ELSE {_IDF[i]} END) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * l / al))' for i in range(_N))}, 6) AS score FROM t, m ORDER BY score DESC, doc_id LIMIT 20"""
 

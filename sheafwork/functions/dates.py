@@ -60,7 +60,9 @@ def decay(value: Column, reference: Column) -> Column:
 
 def excel_serial(value: Column) -> Column:
     """Days since the Excel epoch, fractions as time of day."""
-    return F.timestamp_add("SECOND", F.round(value.cast("double") * 86400).cast("int"), F.lit(EXCEL_EPOCH).cast("timestamp"))
+    days = F.floor(value.cast("double"))
+    midnight = F.timestamp_add("DAY", days.cast("int"), F.lit(EXCEL_EPOCH).cast("timestamp"))
+    return F.timestamp_add("SECOND", F.round((value - days) * 86400).cast("int"), midnight)
 
 
 def parse_date(value: Column) -> Column:
@@ -74,10 +76,10 @@ def parse_date(value: Column) -> Column:
 def filename_date(name: Column) -> Column:
     """year-month found in a file name: 2024-03, 202403, Mar2024, March_2024, Q1 2024 or the year alone."""
     low = F.lower(name)
-    year_month = F.regexp_extract(low, r"(20[0-9]{2})[-_]?(0[1-9]|1[0-2])(?![0-9])", 0)
-    named = F.regexp_extract(low, r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-_ ]?(20[0-9]{2})", 0)
-    quarter = F.regexp_extract(low, r"q([1-4])[-_ ]?(20[0-9]{2})", 0)
-    year = F.regexp_extract(low, r"(20[0-9]{2})", 1)
+    year_month = F.regexp_extract(low, r"((?:19|20)[0-9]{2})[-_]?(0[1-9]|1[0-2])(?![0-9])", 0)
+    named = F.regexp_extract(low, r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[-_ ]?((?:19|20)[0-9]{2})", 0)
+    quarter = F.regexp_extract(low, r"q([1-4])[-_ ]?((?:19|20)[0-9]{2})", 0)
+    year = F.regexp_extract(low, r"((?:19|20)[0-9]{2})", 1)
     order = F.array(*[F.lit(m[:3]) for m in _MONTHS])
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     return (

@@ -22,6 +22,10 @@ def diverse_topk(hits: DataFrame, group: str, id_column: str, k: int) -> DataFra
     return best.select(group, (-F.col("b._id")).alias(id_column), F.col("b.score").alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
 
+def _is(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, terms: list[str], k: int, id_column: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of lower-case white-space words; idf below zero becomes epsilon times the mean idf of the terms.
 
@@ -30,7 +34,7 @@ def bm25(docs: DataFrame, terms: list[str], k: int, id_column: str = "doc_id", k
     """
     terms = sorted({t.lower() for t in terms})
     body = docs.select(id_column, words(F.col("text")).alias("w"))
-    tf = body.select(id_column, F.size("w").alias("len"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    tf = body.select(id_column, F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     idf = [F.log(F.col("n") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5) for i in range(len(terms))]
     mean = sum(idf[1:], idf[0]) / len(terms)
