@@ -22,7 +22,7 @@ def percentage(value: Column, places: int = 2, times_100: bool = True) -> Column
 def by_excel_format(value: Column, fmt: Column) -> Column:
     """`$` and `฿` as currency, `%` as per cent, `#,##` with separators, decimals as many as zeros after the point."""
     places = F.length(F.regexp_extract(fmt, r"\.(0+)", 1))
-    text = F.format_number(F.when(fmt.contains("%"), value * 100).otherwise(value), places)
+    text = F.call_function("format_number", F.when(fmt.contains("%"), value * 100).otherwise(value), places)
     plain = F.when(fmt.contains("#,##") | fmt.contains("%"), text).otherwise(F.regexp_replace(text, ",", ""))
     return F.when(fmt.contains("$"), F.concat(F.lit("$"), text)).when(fmt.contains("฿"), F.concat(F.lit("฿"), text)).when(fmt.contains("%"), F.concat(F.regexp_replace(plain, ",", ""), F.lit("%"))).otherwise(plain)
 
