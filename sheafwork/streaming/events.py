@@ -10,27 +10,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with zone; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Count, sum and mean of value by window and type; rows later than `late` are dropped from a stream."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    kept = marked(events, late)
     out = kept.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total", "mean")
 
 
 def sliding(events: DataFrame, size: str = "1 hour", step: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    kept = marked(events, late)
     return kept.groupBy(F.window("ts", size, step).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """One row for each user and run of events without a longer pause."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    kept = marked(events, late)
     out = kept.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select("user_id", F.col("w.start").alias("session_start"), "n", "total")
 
 
 def distinct_events(events: DataFrame, late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return marked(events, late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def conversation_state(messages: DataFrame, keep: int = 10, ttl_ms: int = 3_600_000) -> DataFrame:

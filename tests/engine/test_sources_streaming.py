@@ -1,5 +1,6 @@
 """Readers, writers and streams."""
 
+import time
 import zipfile
 
 import pytest
@@ -57,7 +58,7 @@ def test_stream_equals_batch(spark, tmp_path):
     source.repartition(3).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = events.tumbling(stream, late="10000 days").writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
+    assert query.awaitTermination(120)
     key = lambda d: sorted((str(r.window_start), r.event_type, r.n) for r in d.collect())
     assert key(spark.table("tumbled")) == key(events.tumbling(source))
 
@@ -66,8 +67,11 @@ def test_session_state(spark, tmp_path):
     rows = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(5)] + [(2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
     rows.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    query = events.conversation_state(stream, keep=2).writeStream.format("memory").queryName("state").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = events.conversation_state(stream, keep=2).writeStream.format("memory").queryName("state").outputMode("update").start()
+    deadline = time.time() + 60  # a query with time-outs never ends by itself
+    while spark.table("state").count() < 2 and time.time() < deadline:
+        query.awaitTermination(1)
+    query.stop()
     assert {r.conv_id: (r.n_messages, r.last_texts) for r in spark.table("state").collect()} == {1: (5, ["m3", "m4"]), 2: (1, ["only"])}
 
 
