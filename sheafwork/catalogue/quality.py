@@ -18,7 +18,7 @@ def register(name: str, table: str, sql: str | None = None):
 
 
 _PROFILE = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", 'number' AS kind, count(*) AS n, CAST(0 AS BIGINT) AS missing, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM lineitem"
+    f"SELECT '{c}' AS \"column\", 'number' AS kind, count(*) AS n, CAST(0 AS BIGINT) AS missing, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 9) AS mean, round(stddev_samp({c}), 9) AS std FROM lineitem"
     for c in ("l_quantity", "l_discount", "l_tax")
 ) + " UNION ALL SELECT 'l_returnflag', 'text', count(*), 0, count(DISTINCT l_returnflag), NULL, NULL, NULL, NULL FROM lineitem"
 
@@ -26,7 +26,7 @@ _PROFILE = " UNION ALL ".join(
 @register("profile_columns", "lineitem", _PROFILE)
 def profile_columns(df):
     out = profile.profile(df, ["l_quantity", "l_discount", "l_tax", "l_returnflag"])
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
+    return out.withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
 @register("profile_patterns", "part", "SELECT c AS \"column\", d = n AND n > 1 AS unique_identifier, t AND d <= 5 AS few_categories, false AS many_missing FROM (SELECT 'p_partkey' AS c, count(*) AS n, count(DISTINCT p_partkey) AS d, false AS t FROM part UNION ALL SELECT 'p_brand', count(*), count(DISTINCT p_brand), true FROM part UNION ALL SELECT 'p_size', count(*), count(DISTINCT p_size), false FROM part) s")

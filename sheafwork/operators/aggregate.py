@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import plain_number
+from . import profile
 from .filters import apply_filters
 
 FUNCTIONS = {
@@ -22,6 +23,10 @@ def aggregate(df: DataFrame, function: str, column: str, filters: list[tuple] =
     """
     kept = apply_filters(df, list(filters))
     value = plain_number(F.col(f"`{column}`"), dict(df.dtypes)[column])
+    if function == "median" and not by:
+        # Spark's exact percentile would hold every distinct value of the column in one task
+        found = profile.median(kept, value).join(F.broadcast(kept.agg(F.count("*").alias("_all"))))
+        return found.select(F.lit(function).alias("aggregation"), F.lit(column).alias("target_column"), F.col("median").alias("value"), F.col("n").alias("rows_processed"), (F.col("_all") - F.col("n")).alias("rows_skipped"))
     groups = [F.col(f"`{b}`") for b in by or []]
     out = kept.groupBy(*groups).agg(
         FUNCTIONS[function](value).cast("double").alias("value"),

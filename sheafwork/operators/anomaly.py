@@ -54,7 +54,8 @@ def duplicate_rows(df: DataFrame, index: str, columns: list[str]) -> DataFrame:
     """index and first_index of rows equal in all `columns` to an earlier one; rows with under two filled cells
     don't count. First rows are found by a map-side minimum of a 128-bit key, and joined back."""
     filled = reduce(lambda a, b: a + b, [(~is_missing(F.col(f"`{c}`"))).cast("int") for c in columns])
-    cells = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]))
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    cells = F.concat_ws(":", *[x for t in texts for x in (F.length(t).cast("string"), t)])  # lengths keep cells apart
     keyed = df.where(filled >= 2).select(F.col(index), F.md5(cells.cast("binary")).alias("_key"))
     first = keyed.groupBy("_key").agg(F.min(index).alias("first_index"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     return keyed.join(first, "_key").where(F.col(index) > F.col("first_index")).select(index, "first_index")

@@ -17,7 +17,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         col = F.col(f"`{c}`")
         value = plain_number(col, types[c], num_cmp)
         parts += [
-            F.count("*").alias(f"{i}_n"), F.count_if(is_missing(col)).alias(f"{i}_missing"), F.count_distinct(col.cast("string")).alias(f"{i}_distinct"), F.count(value).alias(f"{i}_numeric"),
+            F.count("*").alias(f"{i}_n"), F.count_if(is_missing(col) if types[c] == "string" else col.isNull()).alias(f"{i}_missing"), F.count_distinct(col).alias(f"{i}_distinct"), F.count(value).alias(f"{i}_numeric"),
             F.min(value).alias(f"{i}_min"), F.max(value).alias(f"{i}_max"), F.avg(value).alias(f"{i}_mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias(f"{i}_std"),
         ]
     row = df.agg(*parts)
@@ -34,8 +34,8 @@ def patterns(profiles: DataFrame) -> DataFrame:
     return profiles.select("column", ((F.col("distinct_values") == filled) & (filled > 1)).alias("unique_identifier"), ((F.col("kind") == "text") & (F.col("distinct_values") <= 5)).alias("few_categories"), (F.col("missing") > 0.1 * F.col("n")).alias("many_missing"))
 
 
-def quartiles(df: DataFrame, value: Column) -> DataFrame:
-    """n, q1, q3 and iqr by position: the values ranked n div 4 and 3n div 4 from 0.
+def at_ranks(df: DataFrame, value: Column, **ranks) -> DataFrame:
+    """n and, for each name, the value whose rank from 0 is floor(function(n)).
 
     Equal values are counted first, so the running total goes over distinct values; they are range-partitioned and
     each partition's total is carried to the next, so the whole column is never in one task.
@@ -47,8 +47,19 @@ def quartiles(df: DataFrame, value: Column) -> DataFrame:
     earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("p", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("o"), F.sum("s").over(Window.partitionBy()).alias("n"))
     ranked = laid.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(offsets), "p").withColumn("upto", F.col("upto") + F.col("o"))
-    at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k / 4), F.col("v")))
-    return ranked.agg(F.max("n").alias("n"), at(1).alias("q1"), at(3).alias("q3")).withColumn("iqr", F.col("q3") - F.col("q1"))
+    at = lambda f: F.min(F.when(F.col("upto") > F.floor(f(F.col("n"))), F.col("v")))
+    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(f).alias(name) for name, f in ranks.items()])
+
+
+def quartiles(df: DataFrame, value: Column) -> DataFrame:
+    """n, q1, q3 and iqr by position: the values ranked n div 4 and 3n div 4 from 0."""
+    return at_ranks(df, value, q1=lambda n: n / 4, q3=lambda n: 3 * n / 4).withColumn("iqr", F.col("q3") - F.col("q1"))
+
+
+def median(df: DataFrame, value: Column) -> DataFrame:
+    """n and the mean of the two middle values."""
+    middle = at_ranks(df, value, low=lambda n: (n - 1) / 2, high=lambda n: n / 2)
+    return middle.select("n", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 def slope_trend(df: DataFrame, value: str, index: str) -> DataFrame:

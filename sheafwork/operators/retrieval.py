@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..functions.vectors import cosine_to
 
 
@@ -22,19 +21,22 @@ def diverse_topk(hits: DataFrame, group: str, id_column: str, k: int) -> DataFra
     return best.select(group, (-F.col("b._id")).alias(id_column), F.col("b.score").alias("score")).orderBy(F.desc("score"), id_column).limit(k)
 
 
-def _is(term: str):
-    return lambda word: word == term
-
-
 def bm25(docs: DataFrame, terms: list[str], k: int, id_column: str = "doc_id", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25 of lower-case white-space words; idf below zero becomes epsilon times the mean idf of the terms.
 
-    Only the query's terms are counted in each text, with array functions, so nothing is exploded; the corpus
-    statistics are one row.
+    Only the query's terms are looked for in each text, all in one pass, so nothing is exploded and no word list is
+    built; the corpus statistics are one row.
     """
     terms = sorted({t.lower() for t in terms})
-    body = docs.select(id_column, words(F.col("text")).alias("w"))
-    tf = body.select(id_column, F.size("w").alias("len"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    text, any_term = F.lower("text"), "|".join(rf"\Q{t}\E" for t in sorted(terms, key=len, reverse=True))
+    found = F.regexp_extract_all(text, F.lit(rf"(?<!\S)({any_term})(?!\S)"), F.lit(1))
+    names, zeros = F.array(*[F.lit(t) for t in terms]), F.array(*[F.lit(0) for _ in terms])
+    counts = F.aggregate(found, zeros, lambda done, word: F.transform(done, lambda n, i: n + (F.get(names, i) == word).cast("int")))
+    # one generated row for each document: a plain projection would be repeated for every use of its columns
+    once = F.explode(F.array(F.struct(F.regexp_count(text, F.lit(r"\S+")).alias("len"), counts.alias("tf"))))
+    tf = docs.select(id_column, once.alias("r")).select(id_column, "r.len", *[F.col("r.tf")[i].alias(f"tf{i}") for i in range(len(terms))])
+    # statistics and scores both read this exchange of thin rows: the texts are scanned once
+    tf = tf.repartition(F.col(id_column))
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     idf = [F.log(F.col("n") - F.col(f"df{i}") + 0.5) - F.log(F.col(f"df{i}") + 0.5) for i in range(len(terms))]
     mean = sum(idf[1:], idf[0]) / len(terms)
