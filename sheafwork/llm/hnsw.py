@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts, stage_table, table
 from .components import components
 
-COSINE, CAPACITY, BLOCK, PIVOTS = 0.93, 4096, 4096, 65_536
+COSINE, CAPACITY, BLOCK, PIVOTS = 0.93, 4096, 4096, 16_384
 DEGREE, BEAM, AUDIT, RECALL = 12, 48, 128, 0.99
 
 
