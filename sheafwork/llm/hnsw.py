@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, stage_table, table
+from .common import stage_table, table
 from .components import components
 
 COSINE, CAPACITY, BLOCK, PIVOTS = 0.93, 4096, 4096, 16_384
-DEGREE, BEAM, AUDIT, RECALL = 12, 48, 128, 0.99
+DEGREE, BEAM, AUDIT, RECALL, STEP = 12, 48, 128, 0.99, 256
 
 
 class Graph:
@@ -188,8 +188,8 @@ def within(graph: Graph, x: np.ndarray, queries: np.ndarray, beam: int, cosine:
     todo = np.arange(len(queries))
     while len(todo):
         more = []
-        for a in range(0, len(todo), 256):
-            at = todo[a : a + 256]
+        for a in range(0, len(todo), STEP):
+            at = todo[a : a + STEP]
             if 16 * beam >= len(x):
                 for i, row in zip(at, queries[at] @ x.T >= cosine):
                     found[i] = np.flatnonzero(row)
@@ -204,6 +204,19 @@ def within(graph: Graph, x: np.ndarray, queries: np.ndarray, beam: int, cosine:
     return found
 
 
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Each row's group (its smallest row) once the rows i and j are linked as well."""
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def audited(x: np.ndarray, cosine: float, recall: float = RECALL, sample: int = AUDIT) -> tuple[Graph, int]:
     """A graph and the beam at which it finds `recall` of the sample's neighbours; at last, all rows."""
     graph, beam = Graph(x), BEAM
@@ -295,25 +308,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, capacity: int =
 
     def linked(left, right):
         rep, size, x, graph, beam = pickle.loads(left["graph"][0].as_py())
-        own = right["rep"].to_numpy()
-        found = within(graph, x, _unit(right["embedding"].combine_chunks()), beam, cosine)
-        # groups inside this shard and block: queries and rows that share a neighbour
-        n, root = len(rep), np.arange(len(rep))
-        i = np.concatenate([np.full(len(f), f[0]) for f in found if len(f)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        j = np.concatenate([f for f in found if len(f)] or [np.zeros(0, np.int64)]).astype(np.int64)
-        while True:
-            low = np.minimum(root[i], root[j])
-            new = root.copy()
-            np.minimum.at(new, i, low)
-            np.minimum.at(new, j, low)
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
-        least = np.full(n, np.iinfo(np.int64).max)
+        own, asked = right["rep"].to_numpy(), _unit(right["embedding"].combine_chunks())
+        root, links, first = np.arange(len(rep)), [], []
+        for a in range(0, len(own), STEP):  # what a step finds is folded into counts and groups at once
+            found = within(graph, x, asked[a : a + STEP], beam, cosine)
+            links += [int(size[f].sum() - size[f][rep[f] == q].sum()) for q, f in zip(own[a : a + STEP], found)]
+            first += [int(f[0]) if len(f) else -1 for f in found]
+            some = [f for f in found if len(f)]
+            if some:
+                root = merged(root, np.repeat([f[0] for f in some], [len(f) for f in some]), np.concatenate(some))
+        least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rep)
-        links = [int(size[f].sum() - size[f][rep[f] == q].sum()) for q, f in zip(own, found)]
-        to = [int(least[root[f[0]]]) if len(f) else int(q) for q, f in zip(own, found)]
+        to = [int(least[root[f]]) if f >= 0 else int(q) for q, f in zip(own, first)]
         return pa.table([pa.array(own), pa.array(links, pa.int64()), pa.array(to, pa.int64())], names=["rep", "links", "root"])
 
     pairs = copies.groupBy(*keys).cogroup(queries.select(*keys, "rep", "embedding").groupBy(*keys)).applyInArrow(linked, "rep long, links long, root long")
