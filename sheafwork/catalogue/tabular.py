@@ -70,9 +70,9 @@ def numeric_share(df):
     return aggregate.numeric_share(df).withColumn("share", F.col("share").cast("double"))
 
 
-@register("filter_contains", "part", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'steel')")
+@register("filter_contains", "part", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_type), 'promo')")
 def filter_contains(df):
-    return filters.apply_filters(df, [filters.parse_filter("p_type steel", df.columns)]).select("p_partkey", "p_name")
+    return filters.apply_filters(df, [filters.parse_filter("p_type promo", df.columns)]).select("p_partkey", "p_name")
 
 
 @register("filter_null_law", "orders", "SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders) t WHERE status <> 'F'")

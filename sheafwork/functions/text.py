@@ -118,6 +118,11 @@ def sequence_ratio(target: str):
     return ratio
 
 
+def sorted_tokens(text: Column) -> Column:
+    """Lower-case words in alphabetical order, for comparisons that ignore the order of words."""
+    return F.array_join(F.array_sort(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")), " ")
+
+
 _DIFF = StructType([*(StructField(n, LongType()) for n in ("added", "removed", "unchanged")), StructField("similarity", DoubleType())])
 
 
@@ -134,3 +139,20 @@ def _line_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         same = sum(n for _, _, n in match.get_matching_blocks())
         rows.append((len(y) - same, len(x) - same, same, round(match.ratio(), 4)))
     return pd.DataFrame(rows, columns=["added", "removed", "unchanged", "similarity"])
+
+
+def change_summary(old: Column, new: Column) -> Column:
+    """How many lines were added, removed and modified, as a sentence; null texts count as empty."""
+    return F.pandas_udf(_change_summary, "string")(old, new)
+
+
+def _change_summary(old: pd.Series, new: pd.Series) -> pd.Series:
+    out = []
+    for a, b in zip(old.fillna(""), new.fillna("")):
+        count = dict.fromkeys(("insert", "delete", "replace"), 0)
+        for tag, i, j, k, n in SequenceMatcher(None, a.split("\n"), b.split("\n")).get_opcodes():
+            if tag != "equal":
+                count[tag] += max(j - i, n - k)
+        parts = [f"{n} line(s) {word}" for n, word in zip(count.values(), ("added", "removed", "modified")) if n]
+        out.append(", ".join(parts) or "No changes detected")
+    return pd.Series(out, dtype="object")
