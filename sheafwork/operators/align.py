@@ -75,15 +75,33 @@ def value_overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
 
 def relationships(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]], least: float = 0.5) -> DataFrame:
     """For pairs (table, column, table, column): name similarity, overlap, uniqueness, confidence, type and the
-    join that suits. Pairs under `least` confidence are left out."""
+    join that suits. Pairs under `least` confidence are left out.
+
+    Each table is read once, whatever the number of pairs: cells are counted by column and value, and the distinct
+    values of all pairs meet in one aggregation. A column without values overlaps with nothing."""
+    spark = next(iter(tables.values())).sparkSession
+    columns = sorted({tc for t1, c1, t2, c2 in pairs for tc in ((t1, c1), (t2, c2))})
     parts = []
-    for t1, c1, t2, c2 in pairs:
-        a, b = tables[t1], tables[t2]
-        unique = lambda d, c, n: d.agg(F.try_divide(F.count_distinct(c), F.count(c)).alias(n))
-        same = dict(a.dtypes)[c1] == dict(b.dtypes)[c2]
-        row = value_overlap(a, c1, b, c2).join(F.broadcast(unique(a, c1, "u1"))).join(F.broadcast(unique(b, c2, "u2")))
-        parts.append(row.select(F.lit(t1).alias("table_1"), F.lit(c1).alias("column_1"), F.lit(t2).alias("table_2"), F.lit(c2).alias("column_2"), name_similarity(F.lit(c1), F.lit(c2)).alias("name_similarity"), "overlap", "u1", "u2", F.lit(same).alias("same_type")))
-    out = reduce(lambda x, y: x.unionByName(y), parts)
+    for name, df in tables.items():
+        own = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("raw")) for i, (t, c) in enumerate(columns) if t == name]
+        if own:
+            parts.append(df.select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+    counted = reduce(lambda x, y: x.unionByName(y), parts).where("raw is not null").groupBy("col", "raw").agg(F.count("*").alias("n"))
+    # which pairs a column is in, and on which side: one row for each side of a pair
+    uses = [(columns.index((t, c)), k, left) for k, (t1, c1, t2, c2) in enumerate(pairs) for t, c, left in ((t1, c1, True), (t2, c2, False))]
+    sided = counted.join(F.broadcast(spark.createDataFrame(uses, "col int, pair int, left boolean")), "col")
+    left, right = F.col("left"), ~F.col("left")
+    met = sided.groupBy("pair", F.lower(F.trim("raw")).alias("v")).agg(F.count_if(left).alias("raw_1"), F.count_if(right).alias("raw_2"), F.sum(F.when(left, F.col("n"))).alias("n_1"), F.sum(F.when(right, F.col("n"))).alias("n_2"))
+    in_1, in_2 = F.col("raw_1") > 0, F.col("raw_2") > 0
+    whole = met.groupBy("pair").agg(
+        F.coalesce(F.try_divide(F.count_if(in_1 & in_2), F.least(F.count_if(in_1), F.count_if(in_2))), F.lit(0.0)).alias("overlap"),
+        F.try_divide(F.sum("raw_1"), F.sum("n_1")).alias("u1"),
+        F.try_divide(F.sum("raw_2"), F.sum("n_2")).alias("u2"),
+    )
+    types = {name: dict(df.dtypes) for name, df in tables.items()}
+    names = [(k, *p, types[p[0]][p[1]] == types[p[2]][p[3]]) for k, p in enumerate(pairs)]
+    named = spark.createDataFrame(names, "pair int, table_1 string, column_1 string, table_2 string, column_2 string, same_type boolean")
+    out = named.join(whole, "pair", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("name_similarity", name_similarity(F.col("column_1"), F.col("column_2")))
     keyish = lambda c: F.lower(c).rlike("(id|key|code|no)$")
     base = 0.4 * F.col("name_similarity") + 0.4 * F.col("overlap") + F.when(keyish(F.col("column_1")) & keyish(F.col("column_2")), 0.15).otherwise(0.0) + F.when(F.col("same_type"), 0.05).otherwise(0.0)
     out = out.withColumn("confidence", F.round(F.when((F.col("u1") < 0.1) & (F.col("u2") < 0.1), base * 0.7).otherwise(base), 6))

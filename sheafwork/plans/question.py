@@ -58,7 +58,7 @@ def mentioned(question: str, columns: list[str]) -> list[str]:
 
 def answer(df: DataFrame, question: str) -> DataFrame:
     """The plan for one question over one table: `where` clauses joined by `and`, a trailing `by column` as groups."""
-    kind, function = df.sparkSession.createDataFrame([(question,)], "question string").transform(classify).select("kind", "function").first()
+    kind, function = df.sparkSession.sql("SELECT :q AS question", args={"q": question}).transform(classify).select("kind", "function").first()
     body, _, where = question.partition(" where ")
     clauses = [c for part in re.split(r"\s+and\s+", where.rstrip("?. ")) if where and (c := filters.parse_filter(part, df.columns))]
     by = [m[1]] if (m := re.search(r"\bby ([A-Za-z0-9_]+)", body)) and m[1] in df.columns else None
