@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import access, metrics, reports, stores
+from ..operators import access, metrics, profile, reports, stores
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
@@ -233,3 +233,28 @@ def similar_names(df):
     names = df.select("p_name").distinct()
     ratio = text.sequence_ratio("bolt red")(text.sorted_tokens(F.col("p_name")))
     return names.select("p_name", F.round(ratio, 6).alias("ratio")).where("ratio >= 0.6").orderBy(F.desc("ratio"), "p_name").limit(3)
+
+
+def _facts(expr: str) -> str:
+    return " UNION ALL ".join(expr.format(c=c, lo=lo, hi=hi) for c, lo, hi in (("l_quantity", "', from ' || min(l_quantity)", " || ' to ' || max(l_quantity)"), ("l_returnflag", "''", "")))
+
+
+@register("summary_text", "lineitem", _facts("SELECT '{c}' AS \"column\", '{c}: ' || count(*) || ' rows, ' || count(*) FILTER ({c} IS NULL) || ' missing, ' || count(DISTINCT {c}) || ' distinct' || {lo}{hi} AS sentence FROM lineitem"))
+def summary_text(df):
+    return reports.summary_text(profile.profile(df, ["l_quantity", "l_returnflag"]))
+
+
+@register("query_suggestions", "lineitem", "SELECT \"column\", suggestion FROM (VALUES ('l_tax', 'What is the total l_tax'), ('l_tax', 'What is the average l_tax'), ('l_linestatus', 'How many rows by l_linestatus'), ('l_linestatus', 'Show l_linestatus')) t(\"column\", suggestion) WHERE (SELECT count(DISTINCT l_linestatus) FROM lineitem) <= 10")
+def query_suggestions(df):
+    return reports.query_suggestions(profile.profile(df, ["l_tax", "l_linestatus"]))
+
+
+@register("sheet_overview", "supplier", "SELECT 'Sheet supplier: ' || count(*) || ' rows, 4 columns: s_suppkey, s_name, s_nationkey, s_acctbal' AS overview FROM supplier")
+def sheet_overview(df):
+    return reports.sheet_overview("supplier", df)
+
+
+@register("collection_routes", "documents", "SELECT CASE doc_id % 4 WHEN 1 THEN 'pivots' WHEN 2 THEN 'charts' ELSE 'chunks' END AS collection, count(*) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def collection_routes(df):
+    kind = F.when(F.col("doc_id") % 4 == 1, "pivot").when(F.col("doc_id") % 4 == 2, "chart").when(F.col("doc_id") % 4 == 3, "row")
+    return df.groupBy(reports.collection(kind).alias("collection")).agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))

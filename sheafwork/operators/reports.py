@@ -197,3 +197,28 @@ def pending_deliveries(df: DataFrame, attempts: str, created: str, key: str, mos
 def last_known(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """`resolved`: the row's own value, or else the last one named before it under the same key."""
     return df.withColumn("resolved", F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def summary_text(profiles: DataFrame) -> DataFrame:
+    """One sentence for each profiled column (see profile.profile)."""
+    counts = F.format_string("%s: %s rows, %s missing, %s distinct", "column", "n", "missing", "distinct_values")
+    numbers = F.when(F.col("kind") == "number", F.format_string(", from %s to %s", F.col("min").cast("string"), F.col("max").cast("string"))).otherwise("")
+    return profiles.select("column", F.concat(counts, numbers).alias("sentence"))
+
+
+def query_suggestions(profiles: DataFrame) -> DataFrame:
+    """Questions that a column invites: totals and averages of numbers, lookups of text, groups of few categories."""
+    number, few = F.col("kind") == "number", (F.col("kind") == "text") & (F.col("distinct_values") <= 10)
+    asked = F.array_compact(F.array(F.when(number, "What is the total {}"), F.when(number, "What is the average {}"), F.when(few, "How many rows by {}"), F.when(~number, "Show {}")))
+    return profiles.select("column", F.explode(asked).alias("q")).select("column", F.replace("q", F.lit("{}"), F.col("column")).alias("suggestion"))
+
+
+def sheet_overview(name: str, df: DataFrame) -> DataFrame:
+    """One text for a table: its name, rows and columns."""
+    head = F.concat(F.lit(f"Sheet {name}: "), F.count("*").cast("string"), F.lit(f" rows, {len(df.columns)} columns: " + ", ".join(df.columns)))
+    return df.agg(head.alias("overview"))
+
+
+def collection(content_type: Column) -> Column:
+    """The collection a text belongs to; unknown and null types are plain chunks."""
+    return F.when(content_type == "pivot", "pivots").when(content_type == "chart", "charts").otherwise("chunks")
