@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheafwork.functions import text
-from sheafwork.operators import reports
+from sheafwork.operators import align, reports
 
 
 def value(spark, column):
@@ -102,3 +102,15 @@ def test_change_summary_and_tokens(spark):
     assert change("a\nb", "a\nx\ny") == "2 line(s) modified"
     assert change("a", "a") == change(None, "") == "No changes detected"
     assert value(spark, text.sorted_tokens(F.lit("Red-bolt, a "))) == "a bolt red"
+
+
+def test_relationships_of_empty_and_null_columns(spark):
+    a = spark.createDataFrame([(1, " X ", None), (2, "y", None), (2, "y", None)], "id int, name string, nothing string")
+    b = spark.createDataFrame([(1, "x"), (3, "Y"), (None, None)], "id int, name string")
+    tables = {"a": a, "b": b, "e": b.limit(0)}
+    pairs = [("a", "id", "b", "id"), ("a", "name", "b", "name"), ("a", "nothing", "b", "name"), ("a", "id", "e", "id")]
+    out = {(r.table_2, r.column_1): r for r in align.relationships(tables, pairs, least=0).collect()}
+    assert len(out) == 4
+    assert out["b", "id"].overlap == 0.5 and out["b", "id"].relationship == "foreign_key"
+    assert out["b", "name"].overlap == 1 and out["b", "name"].join_type == "inner"
+    assert out["b", "nothing"].overlap == 0 and out["e", "id"].overlap == 0
