@@ -228,6 +228,39 @@ def related_tables(read_):
     return align.related_tables(align.relationships(_tables(read_), _PAIRS), "nation")
 
 
+_STAR = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+}
+
+_ALL_REL = "WITH cells AS (" + " UNION ALL ".join(f"SELECT {i} AS tab, '{t}' AS t, '{c}' AS c, typeof({c}) AS kind, CAST({c} AS VARCHAR) AS raw FROM {t}" for i, (t, cs) in enumerate(_STAR.items()) for c in cs) + """),
+cols AS (SELECT tab, t, c, any_value(kind) AS kind, count(DISTINCT lower(trim(raw))) AS d, count(DISTINCT raw) / CAST(nullif(count(raw), 0) AS DOUBLE) AS u FROM cells GROUP BY tab, t, c),
+vals AS (SELECT DISTINCT tab, t, c, lower(trim(raw)) AS v FROM cells WHERE raw IS NOT NULL),
+met AS (SELECT a.t AS t1, a.c AS c1, b.t AS t2, b.c AS c2, count(*) AS common FROM vals a JOIN vals b ON a.v = b.v AND a.tab < b.tab GROUP BY ALL),
+p AS (SELECT a.t AS table_1, a.c AS column_1, b.t AS table_2, b.c AS column_2, a.u AS u1, b.u AS u2, a.kind = b.kind AS same_type, coalesce(met.common / CAST(least(a.d, b.d) AS DOUBLE), 0) AS overlap,
+list_distinct(string_split(a.c, '')) AS l1, list_distinct(string_split(b.c, '')) AS l2, length(a.c) AS n1, length(b.c) AS n2
+FROM cols a JOIN cols b ON a.tab < b.tab LEFT JOIN met ON met.t1 = a.t AND met.c1 = a.c AND met.t2 = b.t AND met.c2 = b.c),
+s AS (SELECT *, CASE WHEN column_1 = column_2 THEN 1.0 WHEN rtrim(column_1, '_id') = rtrim(column_2, '_id') THEN 0.95 ELSE (len(list_intersect(l1, l2)) / CAST(len(list_distinct(list_concat(l1, l2))) AS DOUBLE) + least(n1, n2) / CAST(greatest(n1, n2) AS DOUBLE)) / 2 END AS name_similarity FROM p),
+b AS (SELECT *, 0.4 * name_similarity + 0.4 * overlap + CASE WHEN regexp_matches(column_1, '(id|key|code|no)$') AND regexp_matches(column_2, '(id|key|code|no)$') THEN 0.15 ELSE 0 END + CASE WHEN same_type THEN 0.05 ELSE 0 END AS base FROM s),
+k AS (SELECT *, round(CASE WHEN u1 < 0.1 AND u2 < 0.1 THEN base * 0.7 ELSE base END, 6) AS confidence FROM b),
+r AS (SELECT table_1, column_1, table_2, column_2, round(name_similarity, 6) AS name_similarity, round(overlap, 6) AS overlap, confidence,
+CASE WHEN u1 > 0.95 AND u2 > 0.95 THEN 'primary_key' WHEN u1 > 0.95 OR u2 > 0.95 THEN 'foreign_key' WHEN name_similarity > 0.8 THEN 'common_column' ELSE 'lookup' END AS relationship,
+CASE WHEN overlap > 0.8 THEN 'inner' WHEN overlap > 0.5 THEN 'left' ELSE 'full' END AS join_type FROM k WHERE confidence >= 0.5) """
+
+
+@register("relationship_pairs_all", "", _ALL_REL + "SELECT * FROM r")
+def relationship_pairs_all(read_):
+    """Every pair of columns of different tables of the star schema."""
+    return align.relationships({t: read_(t) for t in _STAR})
+
+
+@register("related_tables_all", "", _ALL_REL + ", e AS (SELECT table_1 AS a, table_2 AS b, confidence FROM r UNION ALL SELECT table_2, table_1, confidence FROM r) SELECT b AS related, count(*) AS n, round(least(1.0, avg(confidence) * (1 + 0.1 * count(*))), 6) AS relevance FROM e WHERE a = 'nation' GROUP BY b")
+def related_tables_all(read_):
+    return align.related_tables(align.relationships({t: read_(t) for t in _STAR}), "nation")
+
+
 @register("column_profiles", "", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS distinct_values, round(count(DISTINCT {c}) / CAST(count({c}) AS DOUBLE), 6) AS uniqueness FROM {t}" for t, cs in {"nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")}.items() for c in cs))
 def column_profiles(read_):
     return align.column_profiles({t: read_(t) for t in ("nation", "supplier")}).withColumn("uniqueness", F.round("uniqueness", 6)).drop("dtype")

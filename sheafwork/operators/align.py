@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import columns_match, name_similarity
@@ -73,35 +74,50 @@ def value_overlap(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFram
     return out.withColumn("overlap", F.coalesce(F.try_divide(F.col("common"), F.least("distinct_left", "distinct_right")), F.lit(0.0)))
 
 
-def relationships(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]], least: float = 0.5) -> DataFrame:
-    """For pairs (table, column, table, column): name similarity, overlap, uniqueness, confidence, type and the
-    join that suits. Pairs under `least` confidence are left out.
+def column_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]]:
+    """Every pair of columns of different tables, tables in the given order."""
+    return [(t1, c1, t2, c2) for (t1, d1), (t2, d2) in combinations(tables.items(), 2) for c1 in d1.columns for c2 in d2.columns]
 
-    Each table is read once, whatever the number of pairs: cells are counted by column and value, and the distinct
-    values of all pairs meet in one aggregation. A column without values overlaps with nothing."""
+
+def relationships(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]] | None = None, least: float = 0.5) -> DataFrame:
+    """For pairs (table, column, table, column), or all pairs of columns of different tables: name similarity,
+    overlap, uniqueness, confidence, type and the join that suits. Pairs under `least` confidence are left out.
+
+    Each table is read once, whatever the number of pairs: cells are counted by column and value, and each value's
+    columns (at most all of them) give the pairs that share it. A column without values overlaps with nothing."""
     spark = next(iter(tables.values())).sparkSession
+    pairs = column_pairs(tables) if pairs is None else pairs
     columns = sorted({tc for t1, c1, t2, c2 in pairs for tc in ((t1, c1), (t2, c2))})
+    place = {tc: i for i, tc in enumerate(columns)}
     parts = []
     for name, df in tables.items():
         own = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("raw")) for i, (t, c) in enumerate(columns) if t == name]
         if own:
             parts.append(df.select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+    if not parts:
+        return spark.createDataFrame([], "table_1 string, column_1 string, table_2 string, column_2 string, name_similarity double, overlap double, confidence double, relationship string, join_type string")
     counted = reduce(lambda x, y: x.unionByName(y), parts).where("raw is not null").groupBy("col", "raw").agg(F.count("*").alias("n"))
-    # which pairs a column is in, and on which side: one row for each side of a pair
-    uses = [(columns.index((t, c)), k, left) for k, (t1, c1, t2, c2) in enumerate(pairs) for t, c, left in ((t1, c1, True), (t2, c2, False))]
-    sided = counted.join(F.broadcast(spark.createDataFrame(uses, "col int, pair int, left boolean")), "col")
-    left, right = F.col("left"), ~F.col("left")
-    met = sided.groupBy("pair", F.lower(F.trim("raw")).alias("v")).agg(F.count_if(left).alias("raw_1"), F.count_if(right).alias("raw_2"), F.sum(F.when(left, F.col("n"))).alias("n_1"), F.sum(F.when(right, F.col("n"))).alias("n_2"))
-    in_1, in_2 = F.col("raw_1") > 0, F.col("raw_2") > 0
-    whole = met.groupBy("pair").agg(
-        F.coalesce(F.try_divide(F.count_if(in_1 & in_2), F.least(F.count_if(in_1), F.count_if(in_2))), F.lit(0.0)).alias("overlap"),
-        F.try_divide(F.sum("raw_1"), F.sum("n_1")).alias("u1"),
-        F.try_divide(F.sum("raw_2"), F.sum("n_2")).alias("u2"),
-    )
+    # both groupings by value find their rows together
+    cells = counted.withColumn("v", F.lower(F.trim("raw"))).repartition("v").groupBy("v", "col").agg(F.count("*").alias("raws"), F.sum("n").alias("n"))
+    held = cells.groupBy("v").agg(F.collect_list(F.struct("col", "raws", "n")).alias("held"))
+    # a column with itself (i = j) carries its own counts
+    once = lambda x, y, c: F.when(x["col"] == y["col"], x[c]).otherwise(F.lit(0).cast("bigint"))
+    met = F.transform("held", lambda x: F.transform(F.filter("held", lambda y: y["col"] >= x["col"]), lambda y: F.struct(x["col"].alias("i"), y["col"].alias("j"), F.lit(1).cast("bigint").alias("common"), once(x, y, "raws").alias("raws"), once(x, y, "n").alias("n"))))
+    met = held.select(F.explode(F.flatten(met)).alias("r")).select("r.*")
+    ends = [(*sorted((place[p[:2]], place[p[2:]])), place[p[:2]], place[p[2:]]) for p in map(tuple, pairs)]
+    wanted = sorted({(i, j) for i, j, _, _ in ends} | {(i, i) for i in range(len(columns))})
+    zero = spark.createDataFrame([(i, j, 0, 0, 0) for i, j in wanted], "i int, j int, common bigint, raws bigint, n bigint")
+    met = met.unionByName(zero).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("common", "raws", "n")])
+    # one row for each pair of columns is left: each end's own counts reach its pairs
+    own = F.col("i") == F.col("j")
+    for k in ("i", "j"):
+        met = met.withColumns({f"{c}_{k}": F.max(F.when(own, F.col(c))).over(Window.partitionBy(k)) for c in ("common", "raws", "n")})
+    whole = met.select("i", "j", F.coalesce(F.try_divide("common", F.least("common_i", "common_j")), F.lit(0.0)).alias("overlap"), F.try_divide("raws_i", "n_i").alias("u_i"), F.try_divide("raws_j", "n_j").alias("u_j"))
     types = {name: dict(df.dtypes) for name, df in tables.items()}
-    names = [(k, *p, types[p[0]][p[1]] == types[p[2]][p[3]]) for k, p in enumerate(pairs)]
-    named = spark.createDataFrame(names, "pair int, table_1 string, column_1 string, table_2 string, column_2 string, same_type boolean")
-    out = named.join(whole, "pair", "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0))).withColumn("name_similarity", name_similarity(F.col("column_1"), F.col("column_2")))
+    names = [(i, j, first > second, *p, types[p[0]][p[1]] == types[p[2]][p[3]]) for (i, j, first, second), p in zip(ends, pairs)]
+    named = spark.createDataFrame(names, "i int, j int, turned boolean, table_1 string, column_1 string, table_2 string, column_2 string, same_type boolean")
+    out = named.join(whole, ["i", "j"]).withColumn("name_similarity", name_similarity(F.col("column_1"), F.col("column_2")))
+    out = out.withColumns({"u1": F.when(F.col("turned"), F.col("u_j")).otherwise(F.col("u_i")), "u2": F.when(F.col("turned"), F.col("u_i")).otherwise(F.col("u_j"))})
     keyish = lambda c: F.lower(c).rlike("(id|key|code|no)$")
     base = 0.4 * F.col("name_similarity") + 0.4 * F.col("overlap") + F.when(keyish(F.col("column_1")) & keyish(F.col("column_2")), 0.15).otherwise(0.0) + F.when(F.col("same_type"), 0.05).otherwise(0.0)
     out = out.withColumn("confidence", F.round(F.when((F.col("u1") < 0.1) & (F.col("u2") < 0.1), base * 0.7).otherwise(base), 6))

@@ -114,3 +114,18 @@ def test_relationships_of_empty_and_null_columns(spark):
     assert out["b", "id"].overlap == 0.5 and out["b", "id"].relationship == "foreign_key"
     assert out["b", "name"].overlap == 1 and out["b", "name"].join_type == "inner"
     assert out["b", "nothing"].overlap == 0 and out["e", "id"].overlap == 0
+
+
+def test_relationships_derive_all_pairs(spark):
+    line = spark.createDataFrame([(i, i % 5, " A ") for i in range(40)], "l_id int, l_partkey int, l_flag string")
+    part = spark.createDataFrame([(i, "x") for i in range(5)], "p_partkey int, p_name string")
+    flags = spark.createDataFrame([("a", None)], "flag string, nothing string")
+    tables = {"line": line, "part": part, "flags": flags}
+    out = {(r.table_1, r.column_1, r.table_2, r.column_2): r for r in align.relationships(tables, least=0).collect()}
+    assert len(out) == 3 * 2 + 3 * 2 + 2 * 2 and all(a != c for a, _, c, _ in out)
+    found = out["line", "l_partkey", "part", "p_partkey"]
+    assert found.overlap == 1 and found.relationship == "foreign_key" and found.join_type == "inner"
+    assert out["line", "l_flag", "flags", "flag"].overlap == 1 and out["line", "l_flag", "flags", "nothing"].overlap == 0
+    given = {(r.table_1, r.column_1, r.table_2, r.column_2): r for r in align.relationships(tables, [k[2:] + k[:2] for k in out], least=0).collect()}
+    assert {k[2:] + k[:2]: (r.overlap, r.confidence, r.relationship) for k, r in given.items()} == {k: (r.overlap, r.confidence, r.relationship) for k, r in out.items()}
+    assert align.relationships({"line": line}).count() == 0
