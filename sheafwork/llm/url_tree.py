@@ -1,8 +1,9 @@
 """URL filtering by a path-template tree for each host.
 
 Paths are cut into segments; runs of digits and long hexadecimal runs are wildcards at once, which leaves far
-fewer shapes than pages. Level by level, a segment that holds too small a share of its node becomes `*`, then
-sibling branches whose labelled bad rates don't differ significantly are merged into `*`. A template is blocked
+fewer shapes than pages. Level by level, to whatever depth labels disagree, a segment that holds too small a
+share of its node becomes `*`, then sibling branches whose labelled bad rates don't differ significantly are
+merged into `+`; `**` is whatever follows. A template is blocked
 if its bad rate, smoothed towards its host's and the host's towards the whole, is over a limit. Given rules for
 (host, path) come first.
 
@@ -13,6 +14,8 @@ their own. Pages may repeat; each row is judged. Without any label every templat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,9 @@ from .common import stage_table, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, SALTS = 3, 32
+SALTS = 32
+#: The segment of a path that ends in its node.
+END = "\x00"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,36 +54,60 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(plain, r"^/+|/+$", "")
 
 
-def grow_templates(shapes: DataFrame, depth: int = DEPTH, share: float = 0.02, least: int = 10, z: float = 1.96) -> DataFrame:
+def differs(l: Column, b: Column, all_l: Column, all_b: Column, z: float) -> Column:  # noqa: E741
+    """Whether a two-proportion test tells b of l from the rest of all_b of all_l."""
+    n0, b0, pooled = all_l - l, all_b - b, all_b / all_l
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(l, F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
+    return F.coalesce((l > 0) & (n0 > 0) & (spread > 0) & (F.abs(b / F.greatest(l, F.lit(1)) - b0 / F.greatest(n0, F.lit(1))) > z * spread), F.lit(False))
+
+
+def grow_templates(shapes: DataFrame, share: float = 0.02, least: int = 10, z: float = 1.96) -> DataFrame:
     """From (host, shape, n, labelled, bad): host, shape and its template.
 
-    A segment stays literal in its node with at least `share` of the node's pages and `least` of them; deeper
-    levels are one `**`. From the deepest level up, a branch merges with its siblings unless a two-proportion
-    test tells its bad rate from theirs.
+    The tree grows by a level a round, past whatever all paths of a node share, until no node can be split: one
+    whose labels agree or are at most z * z has no branch, at any depth, that the test below could tell apart.
+    A segment stays literal in its node with at least `share` of the node's pages and `least` of them. From the
+    deepest level up, branches that are one template each merge unless `differs` tells their bad rate from their siblings'.
     """
-    parts = F.split("shape", "/")
-    level = [f"s{k}" for k in range(depth)]
-    tree = shapes.withColumns({s: F.coalesce(F.try_element_at(parts, F.lit(k + 1)), F.lit("")) for k, s in enumerate(level)})
-    tree = tree.withColumn("deeper", F.when(F.size(parts) > depth, "**").otherwise(""))
-    for k, s in enumerate(level):
-        node = ["host", *level[:k]]
-        children = tree.groupBy(*node, s).agg(F.sum("n").alias("_n"))
-        whole = children.groupBy(*node).agg(F.sum("_n").alias("_all"))
-        literal = children.join(whole, node).where((F.col("_n") >= least) & (F.col("_n") >= share * F.col("_all"))).select(*node, s, F.lit(True).alias("_keep"))
-        tree = tree.join(literal, [*node, s], "left").withColumn(s, F.when(F.col("_keep") | (F.col(s) == ""), F.col(s)).otherwise("*")).drop("_keep")
-    tree = stage_table(tree, "url-tree")
-    for k in range(depth - 1, -1, -1):
-        s, node = level[k], ["host", *level[:k]]
-        branches = tree.groupBy(*node, s).agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
-        whole = branches.groupBy(*node).agg(F.sum("_l").alias("_al"), F.sum("_b").alias("_ab"), F.count("*").alias("_branches"))
-        n0, b0 = F.col("_al") - F.col("_l"), F.col("_ab") - F.col("_b")
-        pooled = F.col("_ab") / F.col("_al")
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col("_l"), F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
-        differs = (F.col("_l") > 0) & (n0 > 0) & (spread > 0) & (F.abs(F.col("_b") / F.greatest(F.col("_l"), F.lit(1)) - b0 / F.greatest(n0, F.lit(1))) > z * spread)
-        alike = branches.join(whole, node).where((F.col("_branches") > 1) & ~F.coalesce(differs, F.lit(False)) & (F.col(s) != "")).select(*node, s, F.lit(True).alias("_merge"))
-        tree = tree.join(alike, [*node, s], "left").withColumn(s, F.when(F.col("_merge"), "*").otherwise(F.col(s))).drop("_merge")
-    template = F.concat(F.lit("/"), F.concat_ws("/", *[F.when(F.col(s) != "", F.col(s)) for s in level], F.when(F.col("deeper") != "", F.col("deeper"))))
-    return tree.select("host", "shape", "n", "labelled", "bad", template.alias("template"))
+    rows = shapes.select("host", "shape", "n", "labelled", "bad", F.split("shape", "/").alias("rest"), F.array().cast("array<string>").alias("branch"))
+    grown, levels = [], 0
+    while True:
+        nodes = rows.groupBy("host", "branch").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"), F.min("rest").alias("_lo"), F.max("rest").alias("_hi"))
+        nodes = nodes.where((F.col("_lo") != F.col("_hi")) & (F.col("_l") > z * z) & (F.col("_b") > 0) & (F.col("_b") < F.col("_l")))
+        shared = F.array_position(F.zip_with("_lo", "_hi", lambda x, y: x.eqNullSafe(y)), False).cast("int") - 1
+        rows = stage_table(rows.join(nodes.select("host", "branch", shared.alias("_p")), ["host", "branch"], "left"), "url-tree")
+        grown.append(rows.where("_p is null").drop("_p"))
+        rows = rows.where("_p is not null")
+        if rows.isEmpty():
+            break
+        levels += 1
+        rows = rows.withColumn("_s", F.coalesce(F.try_element_at("rest", F.col("_p") + 1), F.lit(END)))
+        children = rows.groupBy("host", "branch", "_s").agg(F.sum("n").alias("_n"), F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"))
+        whole = children.groupBy("host", "branch").agg(F.sum("_n").alias("_all"), F.sum("_l").alias("_al"), F.sum("_b").alias("_ab"), F.count("*").alias("_values"))
+        literal = children.join(whole, ["host", "branch"]).where(literal_segment(share, least, z)).select("host", "branch", "_s", F.lit(True).alias("_keep"))
+        label = F.array_join(F.concat(F.slice("rest", 1, F.col("_p")), F.array(F.when(F.col("_keep") | (F.col("_s") == END), F.col("_s")).otherwise("*"))), "/")
+        rows = rows.join(literal, ["host", "branch", "_s"], "left").select("host", "shape", "n", "labelled", "bad", F.slice("rest", F.col("_p") + 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"), F.array_append("branch", label).alias("branch"))
+    tree = reduce(lambda x, y: x.unionByName(y), grown)
+    for k in range(levels, 0, -1):
+        node, s = F.slice("branch", 1, k - 1), F.try_element_at("branch", F.lit(k))
+        deep = tree.where(F.size("branch") >= k)
+        branches = deep.groupBy("host", node.alias("_node"), s.alias("_s")).agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b"), (F.min("branch") == F.max("branch")).alias("_one"))
+        whole = branches.groupBy("host", "_node").agg(F.sum("_l").alias("_al"), F.sum("_b").alias("_ab"), F.count("*").alias("_branches"))
+        alike = (F.col("_branches") > 1) & F.col("_one") & ~differs(F.col("_l"), F.col("_b"), F.col("_al"), F.col("_ab"), z) & ~F.col("_s").endswith(END)
+        merge = branches.join(whole, ["host", "_node"]).where(alike).select("host", "_node", "_s", F.lit(True).alias("_merge"))
+        merged = F.array_append("_node", F.regexp_replace("_s", "(^|/)[^/]*$", "$1+"))
+        met = tree.withColumns({"_node": node, "_s": s}).join(merge, ["host", "_node", "_s"], "left")
+        # what merges is one template: all below it is left to the branch
+        tree = stage_table(met.withColumn("rest", F.when(F.col("_merge"), F.array(F.lit("**"))).otherwise(F.col("rest"))).withColumn("branch", F.when(F.col("_merge"), merged).otherwise(F.col("branch"))).drop("_node", "_s", "_merge"), "url-tree")
+    ends = tree.groupBy("host", "branch").agg(F.min("rest").alias("_lo"), F.max("rest").alias("_hi"))
+    tail = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.array(F.lit("**")))
+    template = F.concat(F.lit("/"), F.array_join(F.concat(F.filter("branch", lambda x: x != END), tail), "/"))
+    ends = ends.select("host", "branch", F.regexp_replace(template, f"/?{END}", "").alias("template"))
+    return tree.join(ends, ["host", "branch"]).select("host", "shape", "n", "labelled", "bad", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
+
+
+def literal_segment(share: float, least: int, z: float) -> Column:
+    return (F.col("_n") >= least) & (F.col("_n") >= share * F.col("_all"))
 
 
 def template_verdicts(templates: DataFrame, limit: float = 0.5, strength: float = 8.0) -> DataFrame:

@@ -116,6 +116,25 @@ def test_url_templates_block_bad_branches(spark):
     assert {v for t, v in verdicts if "spam" in t} == {"block"} and {v for t, v in verdicts if "news" in t} == {"allow"}
 
 
+def judged(spark, pages, labels):
+    found = url_tree.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_key long, bad int"), rules=())
+    return {r.page_id: r.verdict for r in found.collect()}
+
+
+def test_url_tree_reaches_deep_branches(spark):
+    deep = "/".join(["d"] * 40)
+    where = {0: "a/b/c/news", 1: "a/b/c/news", 2: "a/b/c/news", 3: "a/b/c/spam", 4: f"{deep}/x/ok", 5: f"{deep}/x/ok", 6: f"{deep}/x/bad", 7: f"{deep}/y/ok"}
+    pages = [(i, f"http://h.io/{where[i % 8]}/{i}") for i in range(800)]
+    verdicts = judged(spark, pages, [(i, int(i % 8 in (3, 6))) for i in range(800)])
+    assert verdicts == {i: "block" if i % 8 in (3, 6) else "allow" for i in range(800)}
+
+
+def test_url_tree_keeps_branches_with_opposite_children_apart(spark):
+    pages = [(i, f"http://h.io/{'ab'[i % 2]}/{'xy'[i // 2 % 2]}/{i}") for i in range(400)]
+    bad = {i: int(i % 2 == i // 2 % 2) for i in range(400)}
+    assert judged(spark, pages, list(bad.items())) == {i: "block" if bad[i] else "allow" for i in bad}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
