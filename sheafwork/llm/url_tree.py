@@ -1,8 +1,8 @@
 """URL filtering by a path-template tree for each host.
 
 Paths are cut into segments; runs of digits and long hexadecimal runs are wildcards at once, which leaves far
-fewer shapes than pages. Level by level, to whatever depth labels disagree, a segment that holds too small a
-share of its node becomes `*`, then sibling branches whose labelled bad rates don't differ significantly are
+fewer shapes than pages. Level by level, to whatever depth labels disagree, a segment with few pages among
+many values becomes `*` unless its labels set it apart, then sibling branches whose labelled bad rates don't differ significantly are
 merged into `+`; `**` is whatever follows. A template is blocked
 if its bad rate, smoothed towards its host's and the host's towards the whole, is over a limit. Given rules for
 (host, path) come first.
@@ -66,8 +66,9 @@ def grow_templates(shapes: DataFrame, share: float = 0.02, least: int = 10, z: f
 
     The tree grows by a level a round, past whatever all paths of a node share, until no node can be split: one
     whose labels agree or are at most z * z has no branch, at any depth, that the test below could tell apart.
-    A segment stays literal in its node with at least `share` of the node's pages and `least` of them. From the
-    deepest level up, branches that are one template each merge unless `differs` tells their bad rate from their siblings'.
+    A segment is variable where its node has many values with few pages each: it has under `least` pages, or under
+    `share` of its node's and fewer than there are values. One whose labels differ from its siblings' stays literal
+    whatever its share. From the deepest level up, branches that are one template each merge unless `differs` tells their bad rate from their siblings'.
     """
     rows = shapes.select("host", "shape", "n", "labelled", "bad", F.split("shape", "/").alias("rest"), F.array().cast("array<string>").alias("branch"))
     grown, levels = [], 0
@@ -107,7 +108,13 @@ def grow_templates(shapes: DataFrame, share: float = 0.02, least: int = 10, z: f
 
 
 def literal_segment(share: float, least: int, z: float) -> Column:
-    return (F.col("_n") >= least) & (F.col("_n") >= share * F.col("_all"))
+    """Whether a segment (_n pages, _l labels, _b bad) stays literal among its node's _values."""
+    l, b, n0 = F.col("_l"), F.col("_b"), F.col("_al") - F.col("_l")  # noqa: E741
+    rest, rate = (F.col("_ab") - b + 0.5) / (n0 + 1.0), b / F.greatest(l, F.lit(1))
+    # Chernoff's bound: it holds for few labels too, and counts how many segments were looked at
+    gap = l * (F.coalesce(rate * F.ln(rate / rest), F.lit(0.0)) + F.coalesce((1 - rate) * F.ln((1 - rate) / (1 - rest)), F.lit(0.0)))
+    apart = differs(l, b, F.col("_al"), F.col("_ab"), z) & (gap > z * z / 2 + F.ln(F.col("_values")))
+    return apart | ((F.col("_n") >= least) & ((F.col("_n") >= share * F.col("_all")) | (F.col("_n") >= F.col("_values"))))
 
 
 def template_verdicts(templates: DataFrame, limit: float = 0.5, strength: float = 8.0) -> DataFrame:

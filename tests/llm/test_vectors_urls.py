@@ -135,6 +135,13 @@ def test_url_tree_keeps_branches_with_opposite_children_apart(spark):
     assert judged(spark, pages, list(bad.items())) == {i: "block" if bad[i] else "allow" for i in bad}
 
 
+def test_url_tree_keeps_a_small_bad_section(spark):
+    sections = ["".join("abcdefgh"[i // 8**k % 8] for k in range(3)) for i in range(60)]
+    pages = [(i, f"http://h.io/{sections[i % 60]}/{i}") for i in range(1200)]  # 20 pages a section, under 2 % and fewer than sections
+    verdicts = judged(spark, pages, [(i, int(i % 60 == 7)) for i in range(0, 1200)])
+    assert verdicts == {i: "block" if i % 60 == 7 else "allow" for i in range(1200)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
