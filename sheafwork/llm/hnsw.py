@@ -10,7 +10,9 @@
    executor costs no second build.
 4. Queries go to their shards in blocks beside the graph; a query whose beam ends above the threshold gets a wider
    one. Cosines are verified in double precision; counts by query and links to groups inside the shard go out,
-   never all pairs of a group.
+   for the queries and for the members they found, never all pairs of a group.
+5. Sums of marks (ids as hashes) that a row found less those that found it are 0 unless a pair was found from one
+   side alone. Rows with other sums are searched once more, and such pairs count for both ends.
 
 Vectors that are null, empty, zero or hold null or non-finite parts, and those without a label, link with
 nothing. Vectors of other lengths than their label's pivot are compared only with their own length: label and length
@@ -240,6 +242,13 @@ def _unit(values: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _mark(rep: np.ndarray) -> np.ndarray:
+    """A number of 31 bits for each id, never 0, whose sums tell sets of ids apart."""
+    h = rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h >> np.uint64(33)) | np.uint64(1)).astype(np.int64)
+
+
 def class_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, grp (label and length; null for vectors that link with nothing) and print (of the vector)."""
     e = F.col("embedding").cast("array<double>")
@@ -300,7 +309,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, capacity: int =
 
     graphs = stage_table(members.select("grp", "home", "cut", "rep", "size", "embedding").groupBy("grp", "home", "cut").applyInArrow(built, "grp string, home int, cut int, graph binary"), "hnsw-graphs")
 
-    visits = placed.select("grp", "rep", "embedding", F.explode("visits").alias("home")).join(loads, ["grp", "home"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    visits = placed.select("grp", "rep", "size", "embedding", F.explode("visits").alias("home")).join(loads, ["grp", "home"]).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
     sizes = visits.groupBy("grp", "home", "cut").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     queries = visits.join(sizes, ["grp", "home", "cut"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(47)), F.col("blocks")).cast("int")).drop("blocks")
     copies = graphs.join(sizes, ["grp", "home", "cut"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -309,23 +318,57 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, capacity: int =
     def linked(left, right):
         rep, size, x, graph, beam = pickle.loads(left["graph"][0].as_py())
         own, asked = right["rep"].to_numpy(), _unit(right["embedding"].combine_chunks())
-        root, links, first = np.arange(len(rep)), [], []
+        root, links, first, marks = np.arange(len(rep)), [], [], []
+        mark, given, taken = _mark(rep), np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
         for a in range(0, len(own), STEP):  # what a step finds is folded into counts and groups at once
             found = within(graph, x, asked[a : a + STEP], beam, cosine)
             links += [int(size[f].sum() - size[f][rep[f] == q].sum()) for q, f in zip(own[a : a + STEP], found)]
             first += [int(f[0]) if len(f) else -1 for f in found]
+            marks += [int(mark[f].sum()) for f in found]
+            for m, f in zip(_mark(own[a : a + STEP]), found):
+                given[f] += m
+                taken[f] += 1
             some = [f for f in found if len(f)]
             if some:
                 root = merged(root, np.repeat([f[0] for f in some], [len(f) for f in some]), np.concatenate(some))
         least = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(least, root, rep)
         to = [int(least[root[f]]) if f >= 0 else int(q) for q, f in zip(own, first)]
-        return pa.table([pa.array(own), pa.array(links, pa.int64()), pa.array(to, pa.int64())], names=["rep", "links", "root"])
+        # members that queries found, whether or not their own search does: group, and what to take off its own marks
+        hit = np.flatnonzero(taken)
+        columns = (np.concatenate([own, rep[hit]]), np.concatenate([np.array(links, np.int64), np.zeros(len(hit), np.int64)]), np.concatenate([np.array(to, np.int64), least[root[hit]]]), np.concatenate([np.array(marks, np.int64), -given[hit]]))
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["rep", "links", "root", "marks"])
 
-    pairs = copies.groupBy(*keys).cogroup(queries.select(*keys, "rep", "embedding").groupBy(*keys)).applyInArrow(linked, "rep long, links long, root long")
+    pairs = copies.groupBy(*keys).cogroup(queries.select(*keys, "rep", "embedding").groupBy(*keys)).applyInArrow(linked, "rep long, links long, root long, marks long")
     found = stage_table(pairs, "hnsw-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    grouped = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "hnsw-components").withColumnRenamed("node", "rep")
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("marks").alias("marks"))
+    grouped = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), "hnsw-components").withColumnRenamed("node", "rep")
+
+    # a pair that one side alone found leaves marks at both: only such rows are searched again, and a pair met once
+    # counts for its other end too
+    onesided = stage_table(links.where("marks != 0").select("rep"), "hnsw-onesided")
+    again = visits.join(onesided, "rep", "left_semi")
+    halves = again.groupBy("grp", "home", "cut").agg(F.ceil(F.count("*") / STEP).cast("int").alias("blocks"))
+    asked = again.join(halves, ["grp", "home", "cut"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(47)), F.col("blocks")).cast("int")).drop("blocks")
+    told = members.join(onesided, "rep", "left_semi").select("grp", "home", "cut", "rep").groupBy("grp", "home", "cut").agg(F.collect_list("rep").alias("told"))  # a cut's members at most
+    shards = graphs.join(halves, ["grp", "home", "cut"]).join(told, ["grp", "home", "cut"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def paired(left, right):
+        names = ["rep", "other", "size"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, names=names)
+        rep, _, x, graph, beam = pickle.loads(left["graph"][0].as_py())
+        own, size, told = right["rep"].to_numpy(), right["size"].to_numpy(), np.isin(rep, left["told"][0].values.to_numpy())
+        asked, ends = _unit(right["embedding"].combine_chunks()), []
+        for a in range(0, len(own), STEP):
+            for i, f in enumerate(within(graph, x, asked[a : a + STEP], beam, cosine), a):
+                f = f[told[f] & (rep[f] != own[i])]
+                ends.append((rep[f], np.full(len(f), own[i]), np.full(len(f), size[i])))
+        return pa.table([pa.array(np.concatenate(c).astype(np.int64), pa.int64()) for c in zip(*ends)], names=names)
+
+    met = shards.groupBy(*keys).cogroup(asked.select(*keys, "rep", "size", "embedding").groupBy(*keys)).applyInArrow(paired, "rep long, other long, size long")
+    single = met.groupBy(F.least("rep", "other").alias("_a"), F.greatest("rep", "other").alias("_b")).agg(F.count("*").alias("_n"), F.first("rep").alias("rep"), F.first("size").alias("size")).where("_n = 1")
+    links = links.select("rep", "links").unionByName(single.groupBy("rep").agg(F.sum("size").alias("links"))).groupBy("rep").agg(F.sum("links").alias("links"))
     of = classes.select("grp", "print", "rep", "size").join(links, "rep", "left").join(grouped, "rep", "left")
     out = rows.select("vec_id", "grp", "print").join(of, ["grp", "print"], "left")
     component = F.coalesce("component", "rep", "vec_id")

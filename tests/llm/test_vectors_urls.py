@@ -57,6 +57,21 @@ def test_hnsw_equals_brute_force(spark, capacity):
     assert all(found[k].kept == (found[k].component_id == k) for k in low)
 
 
+@pytest.mark.parametrize("capacity", [4096, 40])
+def test_hnsw_counts_links_found_from_one_side(spark, monkeypatch, capacity):
+    whole = hnsw.within
+
+    def one_way(graph, x, queries, beam, cosine):
+        return [f[x[f][:, 0] <= q[0] + 1e-9] for f, q in zip(whole(graph, x, queries, beam, cosine), queries)]
+
+    monkeypatch.setattr(hnsw, "within", one_way)
+    monkeypatch.setattr(hnsw, "BLOCK", 16)
+    rows = vector_rows()
+    links, low = brute_vectors(rows)
+    found = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), capacity=capacity).collect()}
+    assert {k: r.n_links for k, r in found.items()} == links and {k: r.component_id for k, r in found.items()} == low
+
+
 def test_hnsw_empty(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
