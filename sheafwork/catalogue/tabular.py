@@ -276,9 +276,9 @@ def fuzzy_columns(read_):
     return align.match_columns(heads["supplier"], heads["customer"], 0.8)
 
 
-@register("masked_columns", "customer", "SELECT c_custkey, '***MASKED***' AS card_no, c_mktsegment FROM customer")
+@register("masked_columns", "customer", "SELECT c_custkey, '***MASKED***' AS card_number, '***MASKED***' AS cvv, '***MASKED***' AS compensation, c_mktsegment FROM customer")
 def masked_columns(df):
-    return access.mask(df.select("c_custkey", F.col("c_name").alias("card_no"), "c_mktsegment"), "viewer")
+    return access.mask(df.select("c_custkey", F.col("c_name").alias("card_number"), F.col("c_nationkey").alias("cvv"), F.col("c_acctbal").alias("compensation"), "c_mktsegment"), "viewer")
 
 
 _GRANTS = "WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS user_id, CASE WHEN c_custkey % 10 = 0 THEN '*' ELSE CAST(c_custkey AS VARCHAR) END AS file_id, CASE WHEN c_custkey % 10 = 0 THEN 'analyst' WHEN c_custkey % 3 = 0 THEN 'admin' ELSE 'viewer' END AS role FROM customer WHERE c_custkey % 10 <> 0 OR c_custkey IN (SELECT min(c_custkey) FROM customer WHERE c_custkey % 10 = 0 GROUP BY c_nationkey)), q AS (SELECT CAST(c_nationkey AS VARCHAR) AS user_id, CAST(c_custkey AS VARCHAR) AS file_id, 'analyst' AS needed FROM customer) "

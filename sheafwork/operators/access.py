@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Name parts of sensitive columns (fixed values, alphabetical). `pin` also matches `shipping`.
-SENSITIVE = ("account.?number", "card", "credential", "password", "phone", "pin", "salary", "secret", "ssn", "token")
+#: Patterns of sensitive column names (fixed values). `pin` also matches `shipping`.
+SENSITIVE = ("ssn", "social.?security", "password", "secret", "credit.?card", "card.?number", "cvv", "pin", "salary", "compensation")
 MASK = "***MASKED***"
 LEVELS = {"viewer": 1, "analyst": 2, "developer": 3, "admin": 4}
 

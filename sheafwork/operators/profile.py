@@ -37,11 +37,15 @@ def patterns(profiles: DataFrame) -> DataFrame:
 def at_ranks(df: DataFrame, value: Column, **ranks) -> DataFrame:
     """n and, for each name, the value whose rank from 0 is floor(function(n)).
 
-    Equal values are counted first, so the running total goes over distinct values; they are range-partitioned and
-    each partition's total is carried to the next, so the whole column is never in one task.
+    Equal values are counted first, so the running total goes over distinct values. They are cut into ranges whose
+    bounds, approximate quantiles, stand in the plan as numbers: a value's range follows from the value alone, however
+    often Spark computes it. Each range's total is carried to the next, so the whole column is never in one task.
     """
     counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    laid = counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted({b for b in counts.stat.approxQuantile("v", [i / parts for i in range(1, parts)], 0.2 / parts) if b == b})
+    held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    laid = counts.withColumn("p", F.size(F.filter(held, lambda b: b < F.col("v"))))
     inside = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = laid.groupBy("p").agg(F.sum("c").alias("s"))
     earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, compare, filters, profile
 
-#: Words that speak for a kind of question (fixed values).
+#: Words that speak for a kind of question: a choice of this library.
 KEYWORDS = {
     "aggregation": ("sum", "total", "average", "mean", "count", "how many", "maximum", "minimum", "max", "min", "median", "add up"),
     "lookup": ("what is", "find", "show", "get", "look up", "which", "where", "value of", "details"),
     "summarization": ("summarize", "summary", "overview", "describe", "insights", "key points", "highlights"),
     "comparison": ("compare", "versus", "vs", "difference", "between", "higher than", "lower than", "change from", "growth"),
 }
-FUNCTIONS = (("average", r"\b(average|avg|mean)\b"), ("count", r"\b(count|how many|number of)\b"), ("min", r"\b(min|minimum|lowest|smallest)\b"), ("max", r"\b(max|maximum|highest|largest)\b"), ("median", r"\bmedian\b"), ("sum", r"\b(sum|total|add up)\b"))
+#: The function that a question asks for, by the first pattern that occurs; else a sum (fixed values).
+FUNCTIONS = (
+    ("sum", r"\b(sum|total)\b"),
+    ("average", r"\b(average|avg|mean)\b"),
+    ("count", r"\b(count|how many|number of)\b"),
+    ("min", r"\b(min|minimum|lowest|smallest)\b"),
+    ("max", r"\b(max|maximum|highest|largest|biggest)\b"),
+    ("median", r"\b(median)\b"),
+)
 
 
 def _hits(text: Column, words: tuple[str, ...]) -> Column:

@@ -95,6 +95,10 @@ def test_units(spark):
     df = column(spark, ["5 m²", "5 m", "$1,200.50", "12 pct", "7", "none", None, "3.5 kg"])
     got = values(df, units.detect_unit(F.col("v")))
     assert [(float(g.value), g.unit, g.category) if g else None for g in got] == [(5, "m²", "area"), (5, "m", "length"), (1200.5, "$", "currency"), (12, "%", "percentage"), (7, None, "none"), None, None, (3.5, "kg", "weight")]
+    spelled = ["CHF 100", "cad5", "AUD 7", "5 USD", "3 lbs", "2 tons", "1 ton", "4 ft²", "4 sqft", "9 sq ft", "3 miles", "6 feet", "1 inch", "2 yards", "8 liters", "1 gallon", "2 acres", "5 sq km", "-3 kg", "-$4", "$-4", "50 percent"]
+    found = values(column(spark, spelled), units.detect_unit(F.col("v")))
+    assert [g.unit for g in found] == ["CHF", "CAD", "AUD", "$", "lb", "ton", "ton", "ft²", "ft²", "ft²", "mi", "ft", "in", "yd", "l", "gal", "acre", "km²", "kg", "$", "$", "%"]
+    assert [float(g.value) for g in found[-4:]] == [-3, -4, -4, 50] and "unknown" not in [g.category for g in found]
     one = spark.range(1)
     assert float(one.select(units.convert(F.lit(2), F.lit("km"), F.lit("m"))).first()[0]) == 2000 and one.select(units.convert(F.lit(2), F.lit("km"), F.lit("kg"))).first()[0] is None
     mixed = units.aggregate_units(column(spark, ["1 kg", "2 kg", "3 m", "x"]), "v").first()

@@ -38,6 +38,22 @@ def test_aggregate(spark):
     assert aggregate.aggregate(median, "median", "v").first().value == 2.5
 
 
+@pytest.mark.parametrize("reuse,advisory", [("true", "64m"), ("false", "64m"), ("true", "1k"), ("false", "1k")])
+def test_ranks_do_not_depend_on_physical_plans(spark, reuse, advisory):
+    settings = {"spark.sql.exchange.reuse": reuse, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.adaptive.coalescePartitions.minPartitionSize": advisory}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        values = [(i * 7919) % 10007 / 7 for i in range(10007)] + [3.0] * 500
+        df = spark.range(len(values)).select(F.element_at(F.lit(values), (F.col("id") + 1).cast("int")).alias("v"))
+        got, order = profile.quartiles(df, F.col("v")).first(), sorted(values)
+        assert (got.n, got.q1, got.q3) == (len(order), order[len(order) // 4], order[3 * len(order) // 4])
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_lookup_and_cells(spark):
     df = spark.createDataFrame([(i, f"name {i}") for i in range(30)], "id int, name string")
     rows = filters.lookup(df, "NAME 1", "name", order=["id"]).collect()
@@ -135,8 +151,10 @@ def test_bm25(spark):
 
 
 def test_access(spark):
-    df = spark.createDataFrame([(1, "x", "s")], "id int, card_no string, shipping string")
+    df = spark.createDataFrame([(1, "x", "s")], "id int, card_number string, shipping string")
     assert tuple(access.mask(df, "viewer").first()) == (1, access.MASK, access.MASK) and tuple(access.mask(df, "admin").first()) == (1, "x", "s")
+    named = spark.range(1).select(*[F.lit(1).alias(c) for c in ("cvv", "Compensation", "social security", "creditcard", "phone")])
+    assert tuple(access.mask(named, "viewer").first()) == (access.MASK,) * 4 + (1,)
     grants = spark.createDataFrame([("u", "f1", "admin"), ("u", "*", "viewer"), ("w", "f1", "viewer")], "user_id string, file_id string, role string")
     asked = spark.createDataFrame([("u", "f1", "developer"), ("u", "f2", "analyst"), ("u", "f2", "viewer"), ("z", "f1", "viewer")], "user_id string, file_id string, needed string")
     got = {(r.user_id, r.file_id, r.needed): (r.role, r.allowed) for r in access.effective_roles(asked, grants).collect()}
@@ -188,6 +206,8 @@ def test_questions(spark):
     rows = question.classify(spark.createDataFrame([(q,) for q in asked], "question string")).collect()
     assert [r.kind for r in rows] == ["aggregation", "comparison", "summarization", "lookup", "aggregation", "lookup"]
     assert rows[0].function == "sum" and rows[4].function == "count"
+    more = question.classify(spark.createDataFrame([("total of the average column",), ("the biggest order",), ("median price",)], "question string")).collect()
+    assert [r.function for r in more] == ["sum", "max", "median"]
     df = spark.createDataFrame([("North", 5.0), ("South", 3.0), ("north", 1.0)], "region string, sales double")
     assert question.answer(df, "What is the average sales by region").count() == 3
     assert question.answer(df, "total sales where sales >= 3 and region = north").first().value == 5.0
