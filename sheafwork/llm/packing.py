@@ -2,11 +2,13 @@
 
 Every piece asks for tokens, segments and loss-bearing tokens at once, and every sequence has a limit on each.
 The open sequence takes, of all pieces that still fit, the one whose demand has the largest dot product with
-what is left of the limits, until none fits. Documents are cut into full sequences and one tail first.
+what is left of the limits, until none fits. Documents are cut into full sequences and one tail first. A document may have a
+prompt whose ids bear no loss, as in instruction data: `exchanges` makes such rows of conversations.
 
 Documents are dealt to groups of about GROUP by a hash of their place in the input, so that no id, source or
 text can fill a group; each group packs its own tails, at the price of one part-filled sequence. Null and empty
-texts have only the closing id. Repeated rows are packed each on its own. An empty table gives no piece.
+texts have only the closing id. Repeated rows are packed each on its own. An empty table gives no piece; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,32 +53,59 @@ def pack_vectors(demands: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarr
     return bins, places
 
 
-def cut_documents(docs: DataFrame, length: int = LENGTH, name: str = RANKS, end: int = 0) -> DataFrame:
-    """doc_id, doc_tokens and crcs: the checksums of its pieces of `length` ids, the last one maybe shorter."""
+def cut_points(total: int, quiet: int, length: int, loss: int) -> list[int]:
+    """Where the pieces of a document end, by both limits; its first `quiet` ids and its last one bear no loss."""
+    ends, at = [], 0
+    while at < total:
+        most = max(at, quiet) + loss
+        at = min(at + length, total if most >= total - 1 else most)
+        ends.append(at)
+    return ends
+
+
+def cut_documents(docs: DataFrame, length: int = LENGTH, loss: int = LENGTH, prompt: str | None = None, name: str = RANKS, end: int = 0) -> DataFrame:
+    """doc_id, doc_tokens and for its pieces in order their sizes, losses and crcs (checksums)."""
     closing = end.to_bytes(4, "little")
 
     def cut(batches):
-        own, step = encoder(name), 4 * length
+        own = encoder(name)
         for batch in batches:
-            sizes, crcs = [], []
-            for text in batch.column(1):
-                ids = own.ids(text.as_py()) + closing
-                sizes.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[a : a + step]) for a in range(0, len(ids), step)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, doc_tokens long, crcs array<long>")
-
-
-def pack(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, name: str = RANKS) -> DataFrame:
+            out = []
+            for before, text in zip(batch.column(1), batch.column(2)):
+                quiet = own.ids(before.as_py())
+                ids, quiet = quiet + own.ids(text.as_py()) + closing, len(quiet) // 4
+                total = len(ids) // 4
+                ends = cut_points(total, quiet, length, loss)
+                spans = list(zip([0, *ends], ends))
+                bear = [max(0, min(b, total - 1) - max(a, quiet)) for a, b in spans]
+                out.append((total, [b - a for a, b in spans], bear, [zlib.crc32(ids[4 * a : 4 * b]) for a, b in spans]))
+            columns = [pa.array([r[i] for r in out], pa.list_(pa.int64()) if i else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "doc_tokens", "sizes", "losses", "crcs"])
+
+    before = (F.col(prompt) if prompt else F.lit(None)).cast("string").alias("prompt")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), before, F.col("text")).mapInArrow(cut, "doc_id long, doc_tokens long, sizes array<long>, losses array<long>, crcs array<long>")
+
+
+def exchanges(conversations: DataFrame) -> DataFrame:
+    """Instruction data from (conv_id, turn, role, text): for each assistant turn doc_id (its conversation), turn, prompt
+    (the turn before it, null for the first) and text. A join on both keys: a long conversation fills no task.
+    Repeated turns answer and are answered once for each different text."""
+    turns = conversations.select(F.col("conv_id").alias("doc_id"), "turn", "role", "text").distinct()
+    before = turns.groupBy("doc_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    return turns.where(F.col("role") == "assistant").join(before, ["doc_id", "turn"], "left").select("doc_id", "turn", "prompt", "text")
+
+
+def pack(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, prompt: str | None = None, name: str = RANKS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    A piece is one segment; all of its ids bear loss but the closing one.
+    A piece is one segment. The ids of the column `prompt`, which come before the text's, and the closing one bear no
+    loss; all others do. A sequence holds at most `length` ids, `segments` pieces and `loss` ids that bear loss
+    (`length` of them unless told otherwise); documents are cut by whichever is met first.
     """
     loss = length if loss is None else loss
-    if loss < length:
-        raise ValueError("a full piece bears more loss than allowed: give a smaller length")
-    cut = stage_table(cut_documents(docs, length, name).withColumn("_at", F.xxhash64(F.monotonically_increasing_id())), "packing")
+    if min(length, segments, loss) < 1:
+        raise ValueError("limits must be 1 or more")
+    cut = stage_table(cut_documents(docs, length, loss, prompt, name).withColumn("_at", F.xxhash64(F.monotonically_increasing_id())), "packing")
     groups = max(1, math.ceil(cut.count() / GROUP))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
@@ -84,11 +113,9 @@ def pack(docs: DataFrame, length: int = LENGTH, segments: int = SEGMENTS, loss:
         order = np.lexsort((t["_at"].to_numpy(), t["doc_tokens"].to_numpy()))
         t = t.take(pa.array(order))
         tokens, crcs = t["doc_tokens"].to_numpy(), t["crcs"].combine_chunks()
-        count = -(-tokens // length)
-        doc = np.repeat(np.arange(len(tokens)), count)
-        start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * length
-        size = np.minimum(tokens[doc] - start, length)
-        lossy = size - (start + size == tokens[doc])
+        size, lossy = (t[c].combine_chunks().flatten().to_numpy() for c in ("sizes", "losses"))
+        doc = np.repeat(np.arange(len(tokens)), np.diff(t["sizes"].combine_chunks().offsets.to_numpy()))
+        start = np.cumsum(size) - size - (np.cumsum(tokens) - tokens)[doc]
         bins, places = np.arange(len(doc)), np.zeros(len(doc), np.int64)
         tails = np.flatnonzero(size < length)
         if len(tails):

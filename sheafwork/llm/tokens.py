@@ -22,6 +22,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 MEMORY = 400_000
 
 
+#: The vocabulary's special tokens and their ids (fixed values).
+SPECIAL = {"<|endoftext|>": 50256}
+
 #: White space at either end, or two of it in a row.
 _UNEVEN = re.compile(r"^\s|\s\s|\s\Z")
 
@@ -44,17 +47,21 @@ class _Known(dict):
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, name: str = RANKS):
+    def __init__(self, name: str = RANKS, special: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
+        self._special = SPECIAL if special is None else special
         with open(public_tokenizers.path(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._of = _Known(encode).__getitem__
 
-
     def ids(self, text: str | None) -> bytes:
+        """The ids of a text, in which a special token's string is that token's id."""
+        for token, number in self._special.items():
+            if text and token in text:
+                return number.to_bytes(4, "little").join(map(self.ids, text.split(token)))
         if not text:
             return b""
         if "\x00" not in text and not _UNEVEN.search(text):
