@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space (space, \t, \n, \v, \f, \r).
@@ -54,6 +54,25 @@ def fold_of(doc_id, folds: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % folds
 
 
+#: Bytes of text that a sample may hold for each class, and how many of its texts' sizes fit in.
+SAMPLE_BYTES, SAMPLE_SHARE = 1 << 26, 16
+
+
+def bounded_sample(df: DataFrame, of: str, cap: int, octets: int = SAMPLE_BYTES) -> DataFrame:
+    """`of` and text: for each value of `of` at most `cap` different (doc_id, text) and at most `octets` bytes, chosen by a hash.
+
+    Equal rows are one before anything else, texts over octets / SAMPLE_SHARE aren't learnt from, and Spark drops
+    what can't be among the first `cap` of its class before the shuffle, so no repeated id, text or class gathers.
+    Null texts count as empty.
+    """
+    rows = df.select(of, "doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= octets // SAMPLE_SHARE)
+    each = rows.groupBy(of, F.xxhash64("doc_id", "text", F.lit(31)).alias("_hash")).agg(F.min("text").alias("text"))
+    first = Window.partitionBy(of).orderBy("_hash")
+    top = each.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= cap)
+    size = F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return top.withColumn("_size", size).where(F.col("_size") <= octets).select(of, "text")
+
+
 def ranked(df: DataFrame, order: list, label: str, sums: tuple[str, ...] = ()) -> DataFrame:
     """Global ranks without a single-task window.
 
@@ -68,8 +87,6 @@ def ranked(df: DataFrame, order: list, label: str, sums: tuple[str, ...] = ()) -
     laid = marked.repartitionByRange(shuffle_parts(df.sparkSession), *sort, "_tie").sortWithinPartitions(*sort, "_tie")
     laid = stage_table(laid.drop("_tie").withColumn("_mid", F.monotonically_increasing_id()), label)
     part = F.shiftrightunsigned("_mid", 33)
-    from pyspark.sql import Window
-
     counts = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import fold_of, packed, table
+from .common import bounded_sample, fold_of, packed, table
 
 BINS = 1 << 13
 #: Texts of fewer grams than this are sparse: the least cosine asked of them falls with the root of their size.
@@ -95,16 +95,18 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray
 
 
 def sample_by_class(docs: DataFrame, of: str, cap: int) -> DataFrame:
-    """About `cap` rows for each value of `of` (the whole class if it is smaller), chosen by a hash of
-    doc_id: one count for each class is all that is gathered first."""
+    """`of` and text: about `cap` rows for each value of `of` (the whole class if it is smaller), chosen by a hash of
+    doc_id and text, so that most texts are never shuffled; bounded_sample then keeps at most 2 * cap different ones."""
     sizes = docs.groupBy(of).agg(F.count("*").alias("_size"))
-    share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    return docs.join(F.broadcast(sizes), of).where(share < cap / F.col("_size")).drop("_size")
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    likely = docs.join(F.broadcast(sizes), of).where(share < cap / F.col("_size")).drop("_size")
+    return bounded_sample(likely, of, 2 * cap)
 
 
 def fit(sample: DataFrame, per_language: int, centroids: int = 4) -> Model:
-    """From rows (lang, text): at most 2 * per_language texts of a language reach the driver."""
-    rows = [(r["lang"], c) for r in sample.select("lang", "text").collect() if (c := gram_counts(r["text"])) is not None]
+    """From sample_by_class(): at most 2 * per_language texts and SAMPLE_BYTES of a language reach the driver."""
+    rows = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())
+    rows = [(lang, c) for lang, text in rows if (c := gram_counts(text)) is not None]
     if not rows:
         return Model(np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), [], np.zeros(0))
     grouped: dict[str, list[np.ndarray]] = {}

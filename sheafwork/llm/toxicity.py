@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import fold_of, packed, table
+from .common import bounded_sample, fold_of, packed, table
 from .words import NON_WORD, Text
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -156,16 +156,16 @@ def train(texts: list[str], toxic: np.ndarray, prior: float | None = None, round
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> Model:
-    """Train on a bounded sample: at most `per_class` documents of each label (doc_id, toxic), chosen by a
-    hash of doc_id. Contradicting labels of one document count as toxic."""
+    """Train on a bounded sample: of at most `per_class` ids of each label (doc_id, toxic), chosen by a hash, at most `per_class`
+    different texts and SAMPLE_BYTES reach the driver. Contradicting labels of one document count as toxic."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     order = [F.xxhash64("doc_id", F.lit(29)), "doc_id"]
     chosen = [known.where(F.col("toxic") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     wanted = chosen[0].union(chosen[1])  # at most 2 * per_class rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([r["text"] or "" for r in rows], np.array([r["toxic"] for r in rows]), sizes.get(1, 0) / max(sum(sizes.values()), 1))
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
+    rows = sorted(tuple(r) for r in bounded_sample(found, "toxic", per_class).select("text", "toxic").collect())
+    return train([text for text, _ in rows], np.array([toxic for _, toxic in rows]), sizes.get(1, 0) / max(sum(sizes.values()), 1))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
