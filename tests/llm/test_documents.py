@@ -140,9 +140,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_tokenizers(spark):
@@ -152,6 +150,9 @@ def test_ids_equal_the_tokenizers(spark):
     texts = [x[1] or "" for x in awkward_rows()] + ["".join(r.choice([" ", " ", "a", "b", "'s", "1", "!", "\n", "\t", "\u00a0", "é", "日", ".", "\x1c", "<|endoftext|>"]) for _ in range(r.randint(0, 14))) for _ in range(800)]
     for text in texts:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:50])
+    assert np.frombuffer(own.ids("a <|endoftext|> b"), "<u4").tolist().count(50256) == 1
+    plain, t.encode_special_tokens = tokens.Encoder(special={}), True
+    assert np.frombuffer(plain.ids("a <|endoftext|> b"), "<u4").tolist() == t.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
 def test_length_histogram(spark):
@@ -203,6 +204,57 @@ def test_packing(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_by_each_limit(spark):
+    rows = [(i, prose(i, 30), prose(900 + i, 60)) for i in range(80)] + [(500, None, prose(1, 400)), (501, prose(2, 400), ""), (502, None, None)]
+    docs, t = spark.createDataFrame(rows, "doc_id long, before string, text string"), tokenizer()
+    bound = {}
+    for name, limits in {"tokens": (300, 64, 300), "segments": (300, 2, 300), "loss": (300, 64, 90)}.items():
+        length, segments, loss = limits
+        found = packing.pack(docs, length, segments, loss, "before").collect()
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for r in found:
+            pieces[r.doc_id].append(r)
+            sequences[r.sequence_id].append(r)
+        for d, before, text in rows:
+            quiet, ids = (t.encode(x or "", add_special_tokens=False).ids for x in (before, text))
+            bears, at = [0] * len(quiet) + [1] * len(ids) + [0], 0
+            for r in sorted(pieces[d], key=lambda r: r.start):
+                assert r.start == at and r.loss_tokens == sum(bears[at : at + r.length]) and r.doc_tokens == len(bears)
+                assert r.ids_crc32 == zlib.crc32(np.array([*quiet, *ids, 0][at : at + r.length], "<u4").tobytes())
+                at += r.length
+            assert at == len(bears)
+        used = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in sequences.values()]
+        assert all(u <= most for row in used for u, most in zip(row, limits))
+        bound[name] = used
+    # without its limit more would have gone in: fewer sequences, and some hold more than the limit lets through
+    assert len(bound["segments"]) > len(bound["tokens"]) < len(bound["loss"])
+    assert max(u[1] for u in bound["tokens"]) > 2 and max(u[2] for u in bound["tokens"]) > 90
+    with pytest.raises(ValueError):
+        packing.pack(docs, loss=0)
+
+
+def test_exchanges(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 2, "assistant", "a"), (2, 0, "assistant", "alone"), (3, 0, "user", None), (3, 1, "assistant", "b"), (None, 1, "assistant", "c")]
+    got = packing.exchanges(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, "q", "a"), (2, 0, None, "alone"), (3, 1, None, "b"), (None, 1, None, "c")} and got.count() == 4
+    real = spark.read.parquet(f"{SF}/conversations.parquet")
+    packed = packing.pack(packing.exchanges(real), loss=512, prompt="prompt").agg(F.sum("loss_tokens"), F.sum("length")).first()
+    assert 0 < packed[0] < packed[1]
+
+
+def test_samples_are_bounded(spark):
+    repeated = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same long text again").alias("text"), F.lit("en").alias("lang"))
+    varied = spark.range(50_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("other text "), "id").alias("text"), F.lit("fr").alias("lang"))
+    none = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("null id "), "id").alias("text"), F.lit("de").alias("lang"))
+    docs = repeated.union(varied).union(none)
+    sizes = {r.lang: r["count"] for r in langid.sample_by_class(docs, "lang", 200).groupBy("lang").count().collect()}
+    assert sizes.get("en", 0) <= 1 and 100 < sizes["fr"] <= 400 and 100 < sizes["de"] <= 400
+    known = docs.withColumn("toxic", (F.col("lang") == "fr").cast("int"))
+    sample = {r.toxic: (r.n, r.o) for r in common.bounded_sample(known, "toxic", 500, 5000).groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("o")).collect()}
+    assert all(n <= 500 and o <= 5000 for n, o in sample.values()) and len(sample) == 2
+    assert common.bounded_sample(empty(spark).withColumn("toxic", F.lit(1)), "toxic", 5).count() == 0
+
+
 def test_packing_pads_little(spark):
     rows = packing.op5_packing(spark, "/root/testdata/sf0.01").groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n"), F.count("*")).first()
     assert rows[0] / (1024 * rows[1]) > 0.99
@@ -305,9 +357,26 @@ def test_ngram_join_awkward(spark):
     assert ngram_join.jaccard_join(empty(spark)).count() == 0 and ngram_join.keep_one(empty(spark)).count() == 0
 
 
-def test_prefix_depth():
-    d = ngram_join.prefix_depth(0.8, 0.9995)
-    assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
+def test_ngram_join_keeps_texts_that_share_an_id(spark):
+    a = prose(700, 120)
+    near = [" ".join([*a.split()[:-2], *more]) for more in (("x", "y"), ("z", "y"))]
+    rows = [(1, a), (1, prose(701, 120)), (2, near[0]), (3, near[1]), (None, a), (None, prose(702, 50)), (4, prose(701, 120))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.n_links) for r in ngram_join.jaccard_join(docs).collect())
+    assert found == [(0, 0), (0, 3), (1, 1), (1, 3), (2, 3), (3, 3), (4, 1)]
+    kept = sorted((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs).collect())
+    assert kept == sorted([(1, a), (1, prose(701, 120)), (0, prose(702, 50))])
+
+
+def test_prefix_depth(spark):
+    none, _ = ngram_join.prefix_depth({})
+    assert ngram_join.meeting_chance(0.8, none) >= ngram_join.RECALL > ngram_join.meeting_chance(0.8, none + 1)
+    # pairs that share long prefixes only allow longer ones; some that share short ones only call for these
+    assert ngram_join.prefix_depth({8: 1e6})[0] == ngram_join.DEPTH and ngram_join.prefix_depth({8: 990.0, 2: 10.0})[0] <= 2
+    docs = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    signed = ngram_join.signatures(docs).where("print is not null").groupBy("print").agg(F.first("signature").alias("signature")).withColumn("cls", F.monotonically_increasing_id())
+    depth, measured = ngram_join.prefix_depth(ngram_join.audit(signed))
+    assert measured >= 0.99 and 1 <= depth <= ngram_join.DEPTH
 
 
 def test_every_query_is_registered():

@@ -61,8 +61,10 @@ def test_hnsw_equals_brute_force(spark, capacity):
 def test_hnsw_counts_links_found_from_one_side(spark, monkeypatch, capacity):
     whole = hnsw.within
 
-    def one_way(graph, x, queries, beam, cosine):
-        return [f[x[f][:, 0] <= q[0] + 1e-9] for f, q in zip(whole(graph, x, queries, beam, cosine), queries)]
+    def one_way(graph, x, queries, beam, cosine, own=None):
+        found = whole(graph, x, queries, beam, cosine, own)
+        # of two shards only one visits the other: there a pair has one chance by design
+        return found if own is None else [f[x[f][:, 0] <= q[0] + 1e-9] for f, q in zip(found, queries)]
 
     monkeypatch.setattr(hnsw, "within", one_way)
     monkeypatch.setattr(hnsw, "BLOCK", 16)
@@ -72,6 +74,49 @@ def test_hnsw_counts_links_found_from_one_side(spark, monkeypatch, capacity):
     assert {k: r.n_links for k, r in found.items()} == links and {k: r.component_id for k, r in found.items()} == low
 
 
+def many_vectors(n=6000, d=24):
+    """One label: clusters of a few to hundreds of near vectors between as many that stand alone."""
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=(n // 2, d))]
+    while sum(map(len, x)) < n:
+        x.append(rng.normal(size=d) + rng.uniform(0.1, 0.3) * rng.normal(size=(int(rng.choice([2, 5, 20, 200])), d)))
+    return np.float32(np.concatenate(x)[:n])
+
+
+@pytest.mark.parametrize("capacity", [4096, 1000])
+def test_hnsw_graphs_equal_brute_force(spark, capacity):
+    x = many_vectors()
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(8)
+    found = {r.vec_id: r for r in hnsw.near_duplicates(df, capacity=capacity).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = u @ u.T >= 0.93
+    np.fill_diagonal(links, False)
+    low, (i, j) = np.arange(len(x)), np.nonzero(links)
+    low = hnsw.merged(low, i, j)
+    got = np.array([found[k].n_links for k in range(len(x))])
+    assert (got <= links.sum(1)).all() and got.sum() >= 0.999 * links.sum()
+    assert np.mean([found[k].component_id == low[k] for k in range(len(x))]) >= 0.999
+
+
+def test_graph_answers_without_comparing_all():
+    x = many_vectors(2500).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    for members in (True, False):
+        beam, recall = hnsw.audited(graph, x, 0.93, members)
+        assert beam < len(x) / 4 and recall >= 0.999
+        got = hnsw.within(graph, x, x, beam, 0.93, np.arange(len(x)) if members else None)
+        assert all(len(np.unique(f)) == len(f) for f in got)
+        assert sum(map(len, got)) >= 0.998 * (x @ x.T >= 0.93).sum()
+
+
+def test_hnsw_ids_that_share_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0), (1, b, 0), (2, c, 0), (2, c, 0), (None, a, 0)]
+    found = sorted((r.vec_id or 0, r.n_links) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert found == [(0, 2), (1, 2), (1, 2), (2, 1), (2, 1)]
+
+
 def test_hnsw_empty(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
