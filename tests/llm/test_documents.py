@@ -63,6 +63,16 @@ def test_quality_counts(spark):
         assert quality.text_counts(t)[:5] == brute_quality(t), (t or "")[:40]
 
 
+def test_quality_variety_at_any_length():
+    """The share of different words depends on the words, not on how long the text is."""
+    at = quality.COUNTS + quality.MORE
+    for n in (1000, 4999, 5000, 60_000):
+        few = dict(zip(at, quality.text_counts(" ".join(f"w{i * i % 83}" for i in range(n)))))
+        many = dict(zip(at, quality.text_counts(" ".join(f"w{i * 7919 % 1_000_003}" for i in range(n)))))
+        assert few["n_distinct"] / n < 0.1
+        assert many["n_distinct"] == n
+
+
 def test_quality_judgement(spark):
     rows = quality.judge(awkward(spark)).collect()
     assert len(rows) == len(awkward_rows())
