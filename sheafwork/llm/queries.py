@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hilbert, hnsw, langid, mixing, ngram_join, packing, quality, tokens, toxicity, url_tree
+from . import hilbert, hnsw, langid, mixing, ngram_join, oracles, packing, quality, tokens, toxicity, url_tree
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_hnsw": oracles.EMBEDDING_LINKS, "op10_ngram_jaccard": oracles.JACCARD_LINKS}
 
 
 def queries() -> dict:
