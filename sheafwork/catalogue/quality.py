@@ -29,6 +29,20 @@ def profile_columns(df):
     return out.withColumn("mean", F.round("mean", 9)).withColumn("std", F.round("std", 9))
 
 
+_TOTALS = (
+    "SELECT 'l_quantity' AS \"column\", 'number' AS kind, count(l_quantity) AS filled, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, "
+    "CAST(NULL AS VARCHAR) AS first, CAST(NULL AS VARCHAR) AS last FROM lineitem "
+    "UNION ALL SELECT 'l_returnflag', 'text', CAST(0 AS BIGINT), NULL, NULL, NULL, NULL "
+    "UNION ALL SELECT 'l_shipdate', 'date', count(l_shipdate), NULL, NULL, strftime(min(l_shipdate), '%Y-%m-%d'), strftime(max(l_shipdate), '%Y-%m-%d') FROM lineitem"
+)
+
+
+@register("column_totals", "lineitem", _TOTALS)
+def column_totals(df):
+    out = profile.totals(df, ["l_quantity", "l_returnflag", "l_shipdate"])
+    return out.select("column", "kind", "filled", F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"), *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first", "last")])
+
+
 @register("profile_patterns", "part", "SELECT c AS \"column\", d = n AND n > 1 AS unique_identifier, t AND d <= 5 AS few_categories, false AS many_missing FROM (SELECT 'p_partkey' AS c, count(*) AS n, count(DISTINCT p_partkey) AS d, false AS t FROM part UNION ALL SELECT 'p_brand', count(*), count(DISTINCT p_brand), true FROM part UNION ALL SELECT 'p_size', count(*), count(DISTINCT p_size), false FROM part) s")
 def profile_patterns(df):
     return profile.patterns(profile.profile(df, ["p_partkey", "p_brand", "p_size"]))

@@ -65,7 +65,13 @@ def agg_coerced_text(df):
     return aggregate.aggregate(df.select(text.alias("price")), "sum", "price").withColumn("value", F.round("value", 2))
 
 
-@register("numeric_share", "customer", "SELECT * FROM (VALUES ('c_acctbal', 1.0::DOUBLE), ('c_custkey', 1.0::DOUBLE), ('c_mktsegment', 0.0::DOUBLE), ('c_name', 0.0::DOUBLE), ('c_nationkey', 1.0::DOUBLE)) t(\"column\", share)")
+_SHARE = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE TRY_CAST({c} AS DOUBLE) IS NOT NULL) / CAST(count(*) AS DOUBLE) AS share FROM customer"
+    for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+)
+
+
+@register("numeric_share", "customer", _SHARE)
 def numeric_share(df):
     return aggregate.numeric_share(df).withColumn("share", F.col("share").cast("double"))
 
@@ -266,14 +272,19 @@ def column_profiles(read_):
     return align.column_profiles({t: read_(t) for t in ("nation", "supplier")}).withColumn("uniqueness", F.round("uniqueness", 6)).drop("dtype")
 
 
-_HEADERS = {c: [x for x in cols] for c, cols in {"supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}.items()}
+_HEADERS = {"supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}
+_FILLED = {t: " UNION ALL ".join(f"SELECT '{c}' AS header FROM {t} HAVING count({c}) > 0" for c in cols) for t, cols in _HEADERS.items()}
+_FUZZY = (
+    f"WITH l AS (SELECT header AS left_column FROM ({_FILLED['supplier']})), r AS (SELECT header AS right_column FROM ({_FILLED['customer']})) "
+    "SELECT left_column, right_column FROM l, r WHERE left_column = right_column "
+    "OR 1 - levenshtein(left_column, right_column) / CAST(greatest(length(left_column), length(right_column)) AS DOUBLE) >= 0.8"
+)
 
 
-@register("fuzzy_columns", "", "WITH l AS (SELECT unnest(['" + "','".join(_HEADERS["supplier"]) + "']) AS left_column), r AS (SELECT unnest(['" + "','".join(_HEADERS["customer"]) + "']) AS right_column) SELECT left_column, right_column FROM l, r WHERE left_column = right_column OR 1 - levenshtein(left_column, right_column) / CAST(greatest(length(left_column), length(right_column)) AS DOUBLE) >= 0.8")
+@register("fuzzy_columns", "", _FUZZY)
 def fuzzy_columns(read_):
-    """Headers are the tables' own columns, unpivoted from their first row."""
-    heads = {t: read_(t).limit(1).select(F.explode(F.array(*[F.lit(c) for c in _HEADERS[t]])).alias("header")) for t in _HEADERS}
-    return align.match_columns(heads["supplier"], heads["customer"], 0.8)
+    """Headers are those of the tables' own columns that hold a value in any row."""
+    return align.match_columns(align.filled_columns(read_("supplier")), align.filled_columns(read_("customer")), 0.8)
 
 
 @register("masked_columns", "customer", "SELECT c_custkey, '***MASKED***' AS card_number, '***MASKED***' AS cvv, '***MASKED***' AS compensation, c_mktsegment FROM customer")
@@ -316,6 +327,29 @@ def file_decision(df):
     return ranking.file_decision(ranking.file_scores(files, "zzz")).select("best", "action")
 
 
+_SHEETS = (
+    "WITH q AS (SELECT c_mktsegment AS sheet_name, count(*) FILTER (WHERE c_acctbal > 0) / CAST(count(*) AS DOUBLE) AS content FROM customer GROUP BY 1), "
+    "s AS (SELECT sheet_name, round(0.3 * CASE WHEN sheet_name = 'BUILDING' THEN 1.0 ELSE 0.0 END + 0.4 * 0.5 + 0.2 * 1.0 + 0.1 * content, 6) AS score FROM q) "
+)
+
+
+def _sheets(df):
+    """A sheet for each market segment: its content is the share of accounts in credit."""
+    content = F.count_if(F.col("c_acctbal") > 0) / F.count("*")
+    sheets = df.groupBy(F.col("c_mktsegment").alias("sheet_name")).agg(content.alias("content"))
+    return sheets.withColumns({"headers": F.array(F.lit("Customer"), F.lit("Balance")), "data_types": F.array(F.lit("number"), F.lit("text"))})
+
+
+@register("sheet_scores", "customer", _SHEETS + "SELECT sheet_name, score FROM s")
+def sheet_scores(df):
+    return ranking.sheet_scores(_sheets(df), "total balance in building", ["number"]).select("sheet_name", "score")
+
+
+@register("sheet_decision", "customer", _SHEETS + "SELECT count(*) FILTER (WHERE score > 0.7) AS strong, max(score) AS best, CASE WHEN count(*) FILTER (WHERE score > 0.7) > 1 THEN 'multi_sheet' WHEN count(*) FILTER (WHERE score > 0.7) = 1 THEN 'auto' WHEN max(score) < 0.5 THEN 'clarify' ELSE 'moderate' END AS action FROM s")
+def sheet_decision(df):
+    return ranking.sheet_decision(ranking.sheet_scores(_sheets(df), "total balance in building", ["number"]))
+
+
 @register("confidence", "orders", "SELECT o_orderkey, round(0.4 * ((o_orderkey % 11) / 10.0) + 0.3 * 0.8 + 0.3 * least(greatest(1 - 0.3 * ((o_orderkey % 5) / 5.0) - least(0.05 * (o_orderkey % 7), 0.2), 0), 1), 6) AS confidence FROM orders")
 def confidence(df):
     k = F.col("o_orderkey")

@@ -18,19 +18,23 @@ def match_columns(left: DataFrame, right: DataFrame, least: float = 0.85) -> Dat
 
 
 def common_columns(spark: SparkSession, headers: list[list[str]], least: float = 0.85) -> list[list[str]]:
-    """For each column of the first table that every other table has, its name in each table."""
-    def near(a: str, b: str) -> bool:
-        return spark.range(1).select(columns_match(F.lit(a), F.lit(b), least)).first()[0]
-
-    out = []
-    for name in headers[0]:
-        found = [name]
-        for other in headers[1:]:
-            exact = next((h for h in other if h.lower() == name.lower()), None)
-            found.append(exact or next((h for h in other if near(name, h)), None))
-        if all(found):
-            out.append(found)
-    return out
+    """For each column of the first table that every other table has, its name in each table: the same but for case, else
+    the first that is near. All pairs of names still open are compared in one job."""
+    first, others = headers[0], headers[1:]
+    found = [[next((h for h in other if h.lower() == name.lower()), None) for other in others] for name in first]
+    pairs = [(i, j, k, name, h) for i, name in enumerate(first) for j, other in enumerate(others) if found[i][j] is None for k, h in enumerate(other)]
+    if pairs:
+        near = spark.createDataFrame(pairs, "i int, j int, k int, name string, other string").where(columns_match(F.col("name"), F.col("other"), least))
+        for i, j, other in near.groupBy("i", "j").agg(F.min_by("other", "k")).collect():  # at most one row for each name and table
+            found[i][j] = other
+    return [[name, *names] for name, names in zip(first, found) if all(names)]
+
+
+def filled_columns(df: DataFrame) -> DataFrame:
+    """header and filled (cells that hold a value) of each column that has any, in one scan."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    each = [F.struct(F.lit(c).alias("header"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(df.columns)]
+    return counts.select(F.inline(F.array(*each))).where("filled > 0")
 
 
 def align_union(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:

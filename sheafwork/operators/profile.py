@@ -28,6 +28,22 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
+def totals(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row for each column: kind, filled, total and mean (numbers; text is read as numbers), first and last (dates and
+    times), all in one scan; what doesn't apply is null."""
+    columns, types = columns or df.columns, dict(df.dtypes)
+    parts, items = [], []
+    for i, c in enumerate(columns):
+        col = F.col(f"`{c}`")
+        dated = types[c] in ("date", "timestamp", "timestamp_ntz")
+        value, moment = (F.lit(None).cast("double"), col.cast("timestamp")) if dated else (plain_number(col, types[c], num_cmp), F.lit(None).cast("timestamp"))
+        held = {"filled": F.count(moment if dated else value), "total": F.sum(value), "mean": F.avg(value), "first": F.min(moment), "last": F.max(moment)}
+        parts += [f.alias(f"{i}_{k}") for k, f in held.items()]
+        kind = F.lit("date") if dated else F.when(F.col(f"{i}_filled") > 0, "number").otherwise("text")
+        items.append(F.struct(F.lit(c).alias("column"), kind.alias("kind"), *[F.col(f"{i}_{k}").alias(k) for k in held]))
+    return df.agg(*parts).select(F.inline(F.array(*items)))
+
+
 def patterns(profiles: DataFrame) -> DataFrame:
     """unique_identifier, few_categories (5 at most), many_missing (over 10 %) for each profiled column."""
     filled = F.col("n") - F.col("missing")

@@ -214,3 +214,26 @@ def test_questions(spark):
     assert question.answer(df, "Compare North versus South").first().absolute_diff == 3.0
     assert question.answer(df, "Find rows for South").count() == 1
     assert question.answer(df, "Describe the sales").first()["mean"] == 3.0
+
+
+def test_filled_columns_leave_out_empty_ones(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, None)], "a int, b string, `c d` string")
+    assert sorted(map(tuple, align.filled_columns(df).collect())) == [("a", 2), ("c d", 1)]
+    assert align.filled_columns(df.where("false")).collect() == []
+
+
+def test_common_columns_of_several_tables(spark):
+    headers = [["Product Name", "Revenue", "Cost"], ["product name", "Revenues"], ["Product Names", "revenue", "Profit"]]
+    assert align.common_columns(spark, headers) == [["Product Name", "product name", "Product Names"], ["Revenue", "Revenues", "revenue"]]
+    assert align.common_columns(spark, [["a"]]) == [["a"]]
+
+
+def test_totals_of_numbers_dates_and_text(spark):
+    df = spark.sql("SELECT * FROM VALUES ('1,000', DATE '2024-01-05', 'x', 2.5D), ('5', NULL, NULL, NULL), (NULL, DATE '2023-12-31', 'y', 1.5D) t(price, day, name, `odd name`)")
+    rows = {r["column"]: r for r in profile.totals(df).collect()}
+    assert (rows["price"]["kind"], rows["price"]["filled"], rows["price"]["total"]) == ("number", 2, 1005.0)
+    assert (rows["day"]["kind"], rows["day"]["filled"], rows["day"]["total"]) == ("date", 2, None)
+    assert (str(rows["day"]["first"])[:10], str(rows["day"]["last"])[:10]) == ("2023-12-31", "2024-01-05")
+    assert (rows["name"]["kind"], rows["name"]["filled"]) == ("text", 0)
+    assert (rows["odd name"]["total"], rows["odd name"]["mean"]) == (4.0, 2.0)
+    assert [r["filled"] for r in profile.totals(df.where("false")).collect()] == [0, 0, 0, 0]
