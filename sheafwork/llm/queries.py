@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, hnsw, langid, mixing, ngram_join, oracles, packing, periodic, quality, tokens, toxicity, url_tree
+from . import collocations, hilbert, hnsw, langid, mixing, ngram_join, one_bit, oracles, packing, periodic, quality, tokens, toxicity, url_tree
 
 ORACLES: dict[str, str] = {"op8_hnsw": oracles.EMBEDDING_LINKS, "op10_ngram_jaccard": oracles.JACCARD_LINKS}
 
@@ -19,7 +19,9 @@ def queries() -> dict:
         "op8_hnsw": hnsw.op8_hnsw,
         "op9_quality": quality.op9_quality,
         "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+        "op11_collocations": collocations.op11_collocations,
         "op12_periodic": periodic.op12_periodic,
+        "op13_one_bit": one_bit.op13_one_bit,
     }
 
 
