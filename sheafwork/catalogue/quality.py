@@ -192,18 +192,32 @@ def script_language(df):
     return df.groupBy(text.script_language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
 
 
-_STOPS = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
+def _sql_list(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@register("keywords", "part", f"SELECT p_partkey, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(lower(p_type || ' for the ' || p_name)), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^a-z0-9_]', '', 'g')), lambda w: length(w) >= 2 AND w NOT IN {_STOPS}), ' ') AS words FROM part")
+_KEYWORDS = (
+    "SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda w: w <> ''), "
+    "lambda w: regexp_replace(w, '[^\\p{L}\\p{M}\\p{N}_]', '', 'g')), "
+    f"lambda w: length(w) >= 2 AND w NOT IN {_sql_list(text.KEYWORD_STOPS)}), ' ') AS words FROM documents"
+)
+
+
+@register("keywords", "documents", _KEYWORDS)
 def keywords(df):
-    t = F.concat_ws(" for the ", "p_type", "p_name")
-    return df.select("p_partkey", F.array_join(text.keywords(t), " ").alias("words"))
+    return df.select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("words"))
+
+
+_CACHE_KEYS = (
+    "SELECT doc_id, left(sha256(array_to_string(list_sort(list_filter("
+    "regexp_split_to_array(regexp_replace(lower('What is the price-range of ' || text || '?'), '[^\\p{L}\\p{M}\\p{N}_\\s.]', ' ', 'g'), '\\s+'), "
+    f"lambda w: w <> '' AND w NOT IN {_sql_list(text.QUESTION_STOPS)})), ' ')), 32) AS cache_key FROM documents"
+)
 
 
-@register("cache_keys", "part", f"SELECT p_partkey, left(sha256(array_to_string(list_sort(list_filter(regexp_split_to_array(regexp_replace(lower('What is the price of ' || p_name || '?'), '[^a-z0-9\\s.]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN {_STOPS})), ' ')), 32) AS cache_key FROM part")
+@register("cache_keys", "documents", _CACHE_KEYS)
 def cache_keys(df):
-    return df.select("p_partkey", text.cache_key(F.concat(F.lit("What is the price of "), F.col("p_name"), F.lit("?"))).alias("cache_key"))
+    return df.select("doc_id", text.cache_key(F.concat(F.lit("What is the price-range of "), F.col("text"), F.lit("?"))).alias("cache_key"))
 
 
 @register("normal_headers", "part", "SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(p_brand || '-Name_EN'), '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')), ' \\(?(th|en)\\)?$', '')) AS header FROM part")

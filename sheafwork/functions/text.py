@@ -10,11 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-#: Words that carry no search meaning (fixed values, alphabetical).
-STOP_WORDS = (
-    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "or", "that",
-    "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "will", "with",
+#: Words that are no keywords of a text.
+KEYWORD_STOPS = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "was", "are", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could", "may", "might", "must", "can",
 )
+#: Words that don't tell one question from another.
+QUESTION_STOPS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought",
+    "used", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below",
+    "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "each", "few", "more", "most",
+    "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "also", "now", "please", "show", "me",
+    "tell", "give",
+)
+#: A letter, mark or digit of any script, or an underscore.
+_WORD = r"\p{L}\p{M}\p{N}_"
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -36,15 +47,15 @@ def words(text: Column) -> Column:
 
 
 def keywords(text: Column, least: int = 2) -> Column:
-    """Lower-case words of at least `least` letters that aren't stop words, in order, punctuation removed."""
-    plain = F.transform(words(text), lambda w: F.regexp_replace(w, r"[^a-z0-9_]", ""))
-    return F.filter(plain, lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS))
+    """Lower-case words of at least `least` letters of any script that aren't stop words, in order, punctuation removed."""
+    plain = F.transform(words(text), lambda w: F.regexp_replace(w, f"[^{_WORD}]", ""))
+    return F.filter(plain, lambda w: (F.length(w) >= least) & ~w.isin(*KEYWORD_STOPS))
 
 
 def cache_key(text: Column) -> Column:
-    """32 hex digits that don't depend on case, punctuation, stop words or word order."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s.]", "")
-    kept = F.filter(F.split(plain, r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    """32 hex digits that don't depend on case, punctuation, stop words or word order; letters of all scripts count."""
+    plain = F.regexp_replace(F.lower(text), rf"[^{_WORD}\s.]", " ")
+    kept = F.filter(F.split(plain, r"\s+"), lambda w: (w != "") & ~w.isin(*QUESTION_STOPS))
     return F.substring(F.sha2(F.array_join(F.array_sort(kept), " "), 256), 1, 32)
 
 

@@ -1,25 +1,17 @@
 """Tables from Parquet, CSV and workbooks.
 
-A workbook is parsed where its bytes are, one task for each file; everything after the raw cells (header row, names,
-types) is DataFrame work over (file_name, sheet_name, row_idx, cells).
+A workbook's sheets are read by the data source `workbook`; everything after the raw cells (header row, names, types) is
+DataFrame work over (file_name, sheet_name, row_idx, cells).
 """
 
 from __future__ import annotations
 
-import io
-import posixpath
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coerce import is_missing, value_type
+from . import workbook
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
 ERRORS = ("#DIV/0!", "#N/A", "#NAME?", "#NULL!", "#NUM!", "#REF!", "#VALUE!")
 
 
@@ -27,60 +19,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if ".parquet" in path else spark.read.csv(path, header=True, multiLine=True)
 
 
-def _sheet_rows(data: bytes) -> Iterator[tuple]:
-    """(sheet, row index, cells, formulas, hidden) of one workbook; cells as text, null where empty."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
-        links = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", _NS)}
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).find("m:sheets", _NS):
-            target = links[sheet.get(f"{{{_NS['r']}}}id")].lstrip("/")
-            target = target if target.startswith("xl/") else posixpath.join("xl", target)
-            for row in ElementTree.fromstring(book.read(target)).iter(f"{{{_NS['m']}}}row"):
-                cells: dict[int, str | None] = {}
-                formulas: dict[int, str] = {}
-                for i, c in enumerate(row.findall("m:c", _NS)):
-                    letters = re.match(r"[A-Z]+", c.get("r", ""))
-                    at = i
-                    if letters:
-                        at = 0
-                        for ch in letters[0]:
-                            at = at * 26 + ord(ch) - 64
-                        at -= 1
-                    v, f = c.find("m:v", _NS), c.find("m:f", _NS)
-                    kind = c.get("t")
-                    if kind == "s" and v is not None:
-                        text = shared[int(v.text)]
-                    elif kind == "inlineStr":
-                        text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                    elif kind == "b" and v is not None:
-                        text = "true" if v.text == "1" else "false"
-                    else:
-                        text = v.text if v is not None else None
-                    cells[at] = text
-                    if f is not None and f.text:
-                        formulas[at] = "=" + f.text
-                width = max([*cells, *formulas], default=-1) + 1
-                yield sheet.get("name"), int(row.get("r", 0)), [cells.get(k) for k in range(width)], [formulas.get(k) for k in range(width)], sheet.get("state", "visible") != "visible"
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, sheet_name, row_idx (from 1), cells, formulas, hidden for every workbook below path; a file that
-    can't be read gives one row with its error instead of failing the job."""
-
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows = [(name, *r, None) for r in _sheet_rows(bytes(content))]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, IndexError, ValueError) as error:
-                    rows = [(name, None, None, None, None, None, f"{type(error).__name__}: {error}")]
-                yield pd.DataFrame(rows, columns=["file_name", "sheet_name", "row_idx", "cells", "formulas", "hidden", "error"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(parsed, "file_name string, sheet_name string, row_idx long, cells array<string>, formulas array<string>, hidden boolean, error string")
+def read_workbooks(spark: SparkSession, path: str, content: str = "rows", **options: str) -> DataFrame:
+    """Rows (or another content, see the data source) of every workbook below path, one task for each sheet.
+
+    file_name, sheet_name, row_idx (from 1), cells, formulas, formats, kinds, hidden; a file that can't be read gives one row with its
+    error instead of failing the job.
+    """
+    workbook.register(spark)
+    return spark.read.format("workbook").options(content=content, **options).load(path)
 
 
 def header_rows(raw: DataFrame) -> DataFrame:
@@ -97,9 +43,15 @@ def unique_names(cells: list[str | None]) -> list[str]:
     from ..operators.filters import column_letter
 
     out: list[str] = []
+    taken: set[str] = set()
     for i, c in enumerate(cells):
-        name = (c or "").strip() or f"Column_{column_letter(i)}"
-        out.append(name if name not in out else f"{name}_{sum(x == name or x.startswith(name + '_') for x in out) + 1}")
+        base = name = (c or "").strip() or f"Column_{column_letter(i)}"
+        n = 1
+        while name.lower() in taken:  # names are resolved without case
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 

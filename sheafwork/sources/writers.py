@@ -1,4 +1,4 @@
-"""Exports as CSV, JSON and Parquet."""
+"""Exports as CSV, JSON, Parquet and workbooks."""
 
 from __future__ import annotations
 
@@ -37,6 +37,11 @@ def export(df: DataFrame, path: str, kind: str = "csv", limit: int | None = 100_
         (df if metadata is None else df.withColumn("_metadata", F.lit(json.dumps(metadata, sort_keys=True)))).write.mode("overwrite").json(path)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
+    elif kind == "xlsx":
+        from .workbook import register
+
+        register(df.sparkSession)
+        df.write.format("workbook").mode("overwrite").save(path)
     else:
         raise ValueError(f"unknown format: {kind}")
 

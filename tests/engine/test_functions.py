@@ -47,13 +47,18 @@ def test_percent_change(spark):
 def test_text(spark):
     df = column(spark, ["What  is THE total?", "สวัสดี abc", "paid_id", "", None])
     assert values(df, text.normal_query(F.col("v")))[0] == "what is the total"
-    assert values(df, text.keywords(F.col("v")))[0] == ["total"]
+    assert values(df, text.keywords(F.col("v")))[0] == ["what", "total"]
     assert values(df, text.script_language(F.col("v"))) == ["en", "mixed", "en", "en", "en"]
     one = column(spark, ["paid_id"])
     assert values(one, text.name_similarity(F.col("v"), F.lit("pa"))) == [0.95]
     assert values(one, text.name_similarity(F.col("v"), F.lit("PAID_ID"))) == [1.0]
     keys = values(column(spark, ["Total sales of March", "march: the sales total!"]), text.cache_key(F.col("v")))
     assert keys[0] == keys[1] and len(keys[0]) == 32
+    unlike = ["ยอดขายปีนี้เท่าไร", "จำนวนลูกค้าทั้งหมด", "cost-benefit 2024", "costbenefit 2024", "été déjà", "ete deja", ""]
+    assert len(set(values(column(spark, unlike), text.cache_key(F.col("v"))))) == len(unlike)
+    alike = values(column(spark, ["Cost-benefit 2024?", "benefit: cost 2024", "ÉTÉ déjà", "déjà, été!"]), text.cache_key(F.col("v")))
+    assert alike[0] == alike[1] and alike[2] == alike[3]
+    assert values(column(spark, ["été, déjà", "ยอดขาย ปีนี้", "the cost-benefit"]), text.keywords(F.col("v"))) == [["été", "déjà"], ["ยอดขาย", "ปีนี้"], ["costbenefit"]]
     assert values(column(spark, ["Price-_Total (EN)"]), text.normal_header(F.col("v"))) == ["price total"]
 
 
