@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.question import answer
-from . import events, quality, reports, retrieval, stores, tabular, workbooks
+from . import events, quality, reports, retrieval, rows, stores, tabular, workbooks
 
-_ALL = {**tabular.QUERIES, **quality.QUERIES, **retrieval.QUERIES, **stores.QUERIES, **reports.QUERIES, **events.QUERIES, **workbooks.QUERIES}
+_ALL = {**tabular.QUERIES, **quality.QUERIES, **retrieval.QUERIES, **stores.QUERIES, **reports.QUERIES, **events.QUERIES, **workbooks.QUERIES, **rows.QUERIES}
 
 FLAGSHIP = "What is the total l_extendedprice where l_returnflag = A"
 

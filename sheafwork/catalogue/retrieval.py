@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, retrieval
+from ..operators import chunks, retrieval, rows
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
@@ -70,11 +70,10 @@ def chunk_windows(df):
     return out.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("start_row").cast("long").alias("start_row"), F.col("end_row").cast("long").alias("end_row"), "n_rows", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
-@register("chunk_rows", "supplier", "WITH r AS (SELECT s_suppkey - min(s_suppkey) OVER () AS i, 's_suppkey: ' || s_suppkey || ', s_name: ' || s_name || ', s_nationkey: ' || s_nationkey AS t, count(*) OVER () AS n FROM supplier), k AS (SELECT unnest(range(0, CASE WHEN max(n) <= 50 THEN 1 ELSE CAST(ceil((max(n) - 50) / 45.0) AS BIGINT) + 1 END)) AS chunk FROM r) SELECT chunk, min(i) AS start_row, max(i) AS end_row, count(*) AS n_rows, md5(string_agg(t, chr(10) ORDER BY i)) AS content_md5 FROM k JOIN r ON i >= chunk * 45 AND i < chunk * 45 + 50 GROUP BY chunk")
+@register("chunk_rows", "supplier", "WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, 's_suppkey: ' || s_suppkey || ', s_name: ' || s_name || ', s_nationkey: ' || s_nationkey AS t, count(*) OVER () AS n FROM supplier), k AS (SELECT unnest(range(0, CASE WHEN max(n) <= 50 THEN 1 ELSE CAST(ceil((max(n) - 50) / 45.0) AS BIGINT) + 1 END)) AS chunk FROM r) SELECT chunk, min(i) AS start_row, max(i) AS end_row, count(*) AS n_rows, md5(string_agg(t, chr(10) ORDER BY i)) AS content_md5 FROM k JOIN r ON i >= chunk * 45 AND i < chunk * 45 + 50 GROUP BY chunk")
 def chunk_rows(df):
-    low = df.agg(F.min("s_suppkey")).first()[0] or 0
-    rows = df.withColumn("row_idx", F.col("s_suppkey") - low).withColumn("sheet", F.lit("supplier"))
-    out = chunks.chunk_rows(rows, "sheet", "row_idx", chunks.row_text(["s_suppkey", "s_name", "s_nationkey"]))
+    numbered = rows.row_numbers(df, ["s_suppkey"]).withColumn("sheet", F.lit("supplier"))
+    out = chunks.chunk_rows(numbered, "sheet", "row_idx", chunks.row_text(["s_suppkey", "s_name", "s_nationkey"]))
     return out.select(F.col("chunk").cast("long").alias("chunk"), "start_row", "end_row", "n_rows", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, aggregate, align, compare, filters, ranking
+from ..operators import access, aggregate, align, compare, filters, ranking, rows
 from ..plans import question
 
 QUERIES: dict[str, tuple] = {}
@@ -139,12 +139,11 @@ def compare_categories(df):
     return _rounded(compare.compare(df, ["o_totalprice"], status == "o", status == "f"))
 
 
-@register("compare_halves", "customer", "WITH s AS (SELECT sum(CASE WHEN c_custkey - lo < n // 2 THEN c_acctbal END) AS a, sum(CASE WHEN c_custkey - lo >= n // 2 THEN c_acctbal END) AS b FROM customer, (SELECT min(c_custkey) AS lo, count(*) AS n FROM customer) m) SELECT 'c_acctbal' AS metric, round(a, 2) AS value_a, round(b, 2) AS value_b, round(a - b, 2) AS absolute_diff, round((a - b) / abs(b) * 100, 2) AS percentage_diff, CASE WHEN a > b THEN 'increasing' WHEN a < b THEN 'decreasing' ELSE 'stable' END AS trend FROM s")
+@register("compare_halves", "customer", "WITH s AS (SELECT sum(CASE WHEN i < n // 2 THEN c_acctbal END) AS a, sum(CASE WHEN i >= n // 2 THEN c_acctbal END) AS b FROM (SELECT c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) r) SELECT 'c_acctbal' AS metric, round(a, 2) AS value_a, round(b, 2) AS value_b, round(a - b, 2) AS absolute_diff, round((a - b) / abs(b) * 100, 2) AS percentage_diff, CASE WHEN a > b THEN 'increasing' WHEN a < b THEN 'decreasing' ELSE 'stable' END AS trend FROM s")
 def compare_halves(df):
-    """customer keys are dense: they serve as the row number."""
-    n, low = df.agg(F.count("*"), F.min("c_custkey")).first()
-    a, b = compare.halves(df.withColumn("row_idx", F.col("c_custkey") - low), "row_idx", n)
-    return _rounded(compare.compare(df.withColumn("row_idx", F.col("c_custkey") - low), ["c_acctbal"], a, b))
+    index = rows.RowIndex.build(df, ["c_custkey"])
+    a, b = compare.halves(index.frame(), "row_idx", index.count())
+    return _rounded(compare.compare(index.frame(), ["c_acctbal"], a, b))
 
 
 @register("compare_modes", "orders", "WITH c AS (SELECT CASE WHEN year(o_orderdate) = 1996 THEN 'a' ELSE 'b' END AS entity, o_orderpriority AS value, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL), t AS (SELECT entity, max(n) AS top FROM c GROUP BY entity) SELECT c.entity, min(value) AS value, max(n) AS occurrences FROM c JOIN t ON c.entity = t.entity AND c.n = t.top GROUP BY c.entity")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import NUMBER, num_agg
+from . import rows
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 _CLAUSE = re.compile(r"(.+?)\s*(<=|>=|!=|=|<|>)\s*(.+)")
@@ -78,7 +79,7 @@ def cell(df: DataFrame, reference: str, order: list[str]) -> DataFrame:
     if index >= len(df.columns) or int(m[2]) < 2:
         raise ValueError(f"out of range: {reference}")
     name = df.columns[index]
-    return df.orderBy(*order).offset(int(m[2]) - 2).limit(1).select(F.lit(reference.upper()).alias("cell"), F.lit(name).alias("column"), F.col(f"`{name}`").cast("string").alias("value"))
+    return rows.rows_at(df, order, int(m[2]) - 2, 1).select(F.lit(reference.upper()).alias("cell"), F.lit(name).alias("column"), F.col(f"`{name}`").cast("string").alias("value"))
 
 
 def column_letter(index: int) -> str:
@@ -89,6 +90,6 @@ def column_letter(index: int) -> str:
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 20) -> DataFrame:
-    """Page `number` (from 1) of at most 100 rows."""
+    """Page `number` (from 1) of at most 100 rows; deep pages come from a row index, see also rows.page_after."""
     size = min(size, 100)
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    return rows.rows_at(df, order, (number - 1) * size, size)
