@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, retrieval, rows
+from ..operators import chunks, postings, retrieval, rows
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
@@ -86,3 +86,9 @@ def column_summaries(df):
 def first_hit_per_source(df):
     ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
     return ranked.where("r <= 3").select("source", "doc_id", "n_chars")
+
+
+@register("bm25_index", "documents", _BM25)
+def bm25_index(df):
+    """The same ranking from the stored index, which is built once for a table's files."""
+    return postings.PostingIndex.stored(df).search(_TERMS, 20)

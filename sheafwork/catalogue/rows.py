@@ -16,13 +16,13 @@ def register(name: str, table: str, sql: str | None = None):
 
 _NUMBERED = (
     "SELECT l_returnflag, count(*) AS n, CAST(sum(i) AS BIGINT) AS places, CAST(sum(i * l_linenumber) AS BIGINT) AS weighted "
-    "FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS i FROM lineitem) GROUP BY 1"
+    "FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS i FROM lineitem) GROUP BY 1"
 )
 
 
 @register("row_numbers", "lineitem", _NUMBERED)
 def row_numbers(df):
-    numbered = rows.row_numbers(df, ["l_shipdate", "l_orderkey", "l_linenumber"])
+    numbered = rows.row_numbers(df, ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"])
     return numbered.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("row_idx").alias("places"), F.sum(F.col("row_idx") * F.col("l_linenumber")).alias("weighted"))
 
 
