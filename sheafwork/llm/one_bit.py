@@ -7,8 +7,8 @@
    unit difference with its own code. Rows of a cell are dealt by hash into blocks of about BLOCK rows.
 3. A query is rotated and cut into PLANES bits a dimension; counting common bits plane by plane estimates its inner product with every vector of
    a block, unbiased after division by the second scalar. The error's standard deviation is known from that scalar, so each estimate has an upper and a
-   lower bound of EPSILON deviations. Vectors whose upper bound reaches the query's threshold (the sample's, or the NEAREST-th lower bound in the
-   block) are reranked: their inner product is computed from the original vectors in double precision.
+   lower bound of EPSILON deviations. Vectors whose upper bound reaches the query's threshold (the sample's, the NEAREST-th lower bound in the
+   block, or the NEAREST-th score so far) are reranked: their inner product is computed from the original vectors in double precision.
 4. AUDIT queries are held against brute force over all candidates. That tells how many cells, best first, a query must look into for the
    target recall; after the search the audited queries' recall is measured and logged, and as long as it is below the target the search is made again
    with twice the cells and wider bounds, at last with all cells.
@@ -34,7 +34,7 @@ from .common import shuffle_parts, stage_table, table
 
 log = logging.getLogger(__name__)
 
-NEAREST, BLOCK, CELL, CELLS, QUERY_BLOCK = 20, 1024, 4096, 1024, 512
+NEAREST, BLOCK, CELL, CELLS, PILE, SEGMENTS = 20, 1024, 4096, 1024, 512, 8
 SAMPLE, SAMPLE_BYTES, AUDIT, RECALL, EPSILON, PLANES = 16_384, 1 << 26, 128, 0.97, 3.0, 6
 
 
@@ -197,8 +197,8 @@ class Index:
 
         coded = self.rows.mapInArrow(code, "length int, cell int, vec_id long, vector binary, code binary, far double, own double")
         coded = stage_table(coded, "one-bit-codes")
-        self.sizes = stage_table(coded.groupBy("length", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")), "one-bit-cells")
-        dealt = coded.join(self.sizes, ["length", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("n_blocks")).cast("int"))
+        sizes = coded.groupBy("length", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+        dealt = coded.join(sizes, ["length", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.col("n_blocks")).cast("int"))
 
         def gather(rows: pa.Table) -> pa.Table:
             first = rows.slice(0, 1)
@@ -243,15 +243,15 @@ class Index:
         place = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("_place", place).where(F.col("_place") <= k).select("who", "vec_id", "length", "cell").collect()
 
-    def _probes(self, queries: DataFrame, probes: int | None) -> DataFrame:
-        """Queries once for each cell that they look into, with the score that they need."""
+    def _asked(self, queries: DataFrame, probes: int | None) -> DataFrame:
+        """Each query with its home cell, the cells that it looks into and the score that it needs at least."""
         k, dtype, cells, sample = self.nearest, self.dtype, self.cells, self.sample
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 all_ids = np.asarray(batch.column(0))
                 for length, rows, q in _by_length(batch, dtype):
-                    of, own = cells[length], all_ids[rows]
+                    own = all_ids[rows]
                     need = np.full(len(q), -np.inf)
                     if length in sample and len(sample[length][0]) > k:
                         for i in range(0, len(q), 256):
@@ -259,65 +259,104 @@ class Index:
                             scores[own[i : i + 256, None] == sample[length][0]] = -np.inf
                             need[i : i + 256] = np.partition(scores, -k, axis=1)[:, -k]
                         need -= 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(sample[length][1], axis=1).max()
-                    into = of.order(q)[:, :probes]
-                    who = np.repeat(np.arange(len(q)), into.shape[1])
-                    raw = [v.tobytes() for v in q.astype(dtype)]
-                    columns = [pa.array(np.full(len(who), length), pa.int32()), pa.array(into.ravel(), pa.int32()), pa.array(own[who])]
-                    columns += [pa.array([raw[w] for w in who], pa.binary()), pa.array(need[who])]
-                    yield pa.RecordBatch.from_arrays(columns, ["length", "cell", "query_id", "vector", "need"])
+                    into = cells[length].order(q)[:, :probes].astype(np.int32)
+                    columns = [pa.array(np.full(len(q), length), pa.int32()), pa.array(into[:, 0]), pa.array(own), pa.array([v.tobytes() for v in q.astype(dtype)], pa.binary())]
+                    columns += [pa.array(need), pa.array(list(into), pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["length", "home", "query_id", "vector", "need", "cells"])
 
-        return queries.mapInArrow(ask, "length int, cell int, query_id long, vector binary, need double")
+        return queries.mapInArrow(ask, "length int, home int, query_id long, vector binary, need double, cells array<int>")
 
-    def search(self, queries: DataFrame, n_queries: int, probes: int | None = None, epsilon: float = EPSILON) -> DataFrame:
-        """query_id, rank (from 1), vec_id, score of each query's nearest rows in its first `probes` cells (None: all)."""
+    def search(self, queries: DataFrame, probes: int | None = None, epsilon: float = EPSILON) -> DataFrame:
+        """query_id, rank (from 1), vec_id, score of each query's nearest rows in its first `probes` cells (None: all).
+
+        Queries of one home cell are dealt to piles of about PILE. All blocks of a cell go to the piles that look into it, home cells first,
+        cut into SEGMENTS by cell so that a pile isn't one task; a task keeps its piles' best rows so far, so the score that is
+        needed rises, and what it gives out is at most the nearest rows of each query.
+        """
         k, dtype, cells, parts = self.nearest, self.dtype, self.cells, shuffle_parts(self.spark)
-        n_cells = max([len(c.centroids) for c in self.cells.values()], default=1)
-        piles = max(1, math.ceil(n_queries * min(probes or n_cells, n_cells) / n_cells / QUERY_BLOCK))
-        asked = self._probes(queries, probes).withColumn("pile", F.pmod(F.xxhash64("query_id", "vector"), F.lit(piles)).cast("int"))
+        asked = stage_table(self._asked(queries, probes), "one-bit-asked")
+        piles = asked.groupBy("length", "home").agg(F.ceil(F.count("*") / PILE).alias("_piles"))
+        dealt = asked.join(piles, ["length", "home"]).withColumn("pile", F.pmod(F.xxhash64("query_id", "vector"), F.col("_piles")).cast("int"))
 
         def gather(rows: pa.Table) -> pa.Table:
-            out = []
-            for i in range(0, rows.num_rows, QUERY_BLOCK):
-                some = rows.slice(i, QUERY_BLOCK)
-                out.append({c: some.column(c)[0].as_py() for c in ("length", "cell", "pile")} | {
-                    "queries": b"".join(some.column("vector").to_pylist()), "query_ids": np.asarray(some.column("query_id")).tobytes(), "needs": np.asarray(some.column("need")).tobytes()
-                })
-            return pa.Table.from_pylist(out, pa.schema([("length", pa.int32()), ("cell", pa.int32()), ("pile", pa.int32()), ("queries", pa.binary()), ("query_ids", pa.binary()), ("needs", pa.binary())]))
-
-        piled = asked.groupBy("length", "cell", "pile").applyInArrow(gather, "length int, cell int, pile int, queries binary, query_ids binary, needs binary")
-        each = piled.join(self.sizes, ["length", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
-        key = ["length", "cell", "block"]
-        pairs = each.repartition(parts, *key).join(self.blocks.repartition(parts, *key), key)
+            into = [set(c) for c in rows.column("cells").to_pylist()]
+            union = sorted(set().union(*into))
+            looks = np.packbits(np.array([[c in own for c in union] for own in into]), axis=0, bitorder="little")
+            row = {c: rows.column(c)[0].as_py() for c in ("length", "home", "pile")} | {
+                "queries": b"".join(rows.column("vector").to_pylist()), "query_ids": np.asarray(rows.column("query_id")).tobytes(),
+                "needs": np.asarray(rows.column("need")).tobytes(), "cells": union, "looks": [looks[:, i].tobytes() for i in range(len(union))],
+            }
+            kinds = [("length", pa.int32()), ("home", pa.int32()), ("pile", pa.int32()), ("queries", pa.binary()), ("query_ids", pa.binary()), ("needs", pa.binary())]
+            return pa.Table.from_pylist([row], pa.schema([*kinds, ("cells", pa.list_(pa.int32())), ("looks", pa.list_(pa.binary()))]))
+
+        schema = "length int, home int, pile int, queries binary, query_ids binary, needs binary, cells array<int>, looks array<binary>"
+        piled = stage_table(dealt.drop("_piles").groupBy("length", "home", "pile").applyInArrow(gather, schema), "one-bit-piles")
+        key, body = ["length", "home", "pile", "segment"], ["vectors", "codes", "ids", "fars", "owns"]
+        segment = F.pmod(F.xxhash64("cell"), F.lit(SEGMENTS)).cast("int")
+        visits = piled.select("length", "home", "pile", F.explode(F.arrays_zip("cells", "looks")).alias("v")).select("length", "home", "pile", F.col("v.cells").alias("cell"), F.col("v.looks").alias("look"))
+        seen = visits.join(self.blocks, ["length", "cell"]).withColumn("segment", segment)
+        seen = seen.select(*key, F.when(F.col("cell") == F.col("home"), 1).otherwise(2).alias("turn"), "cell", "look", *body)
+        heads = piled.withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)))).select(*key, F.lit(0).alias("turn"), F.col("queries").alias("vectors"), F.col("query_ids").alias("ids"), F.col("needs").alias("fars"))
+        met = heads.unionByName(seen, allowMissingColumns=True).repartition(parts, *key).sortWithinPartitions(*key, "turn", "cell")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = None
             for batch in batches:
                 for row in batch.to_pylist():
-                    length = row["length"]
-                    x = np.frombuffer(row["vectors"], dtype).reshape(-1, length).astype(np.float64)
-                    q = np.frombuffer(row["queries"], dtype).reshape(-1, length).astype(np.float64)
-                    ids, own = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                    codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1)
-                    centre = cells[length].centroids[row["cell"]]
-                    low, high = bounds(q, centre, codes, np.frombuffer(row["fars"]), np.frombuffer(row["owns"]), epsilon)
-                    self_ = own[:, None] == ids
-                    low[self_], high[self_] = -np.inf, -np.inf
-                    need = np.frombuffer(row["needs"]).copy()
-                    if len(ids) > k:
-                        need = np.maximum(need, np.partition(low, -k, axis=1)[:, -k])
-                    qi, xi = np.nonzero((high >= need[:, None]) & ~self_)
-                    scores = _exact(q, x, qi, xi)
-                    best = _top(qi, ids[xi], scores, k)
-                    qi, xi, scores = qi[best], xi[best], scores[best]
-                    vector = [q[i].astype(dtype).tobytes() for i in range(len(q))]
-                    columns = [pa.array(own[qi]), pa.array([vector[i] for i in qi], pa.binary()), pa.array(ids[xi]), pa.array(scores)]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "vector", "vec_id", "score"])
-
-        found = pairs.mapInArrow(meet, "query_id long, vector binary, vec_id long, score double")
+                    if row["turn"] == 0:
+                        if state is not None:
+                            yield state.best()
+                        state = _Pile(row, dtype, k)
+                    else:
+                        state.meet(row, cells[row["length"]].centroids[row["cell"]], epsilon)
+            if state is not None:
+                yield state.best()
+
+        found = met.mapInArrow(meet, "query_id long, vector binary, vec_id long, score double")
         found = found.withColumn("_of", F.xxhash64("vector")).drop("vector")
         place = F.row_number().over(Window.partitionBy("query_id", "_of").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "_of")
 
 
+class _Pile:
+    """Some queries and their nearest rows so far."""
+
+    def __init__(self, row: dict, dtype, k: int):
+        self.length, self.dtype, self.k = row["length"], dtype, k
+        self.raw = row["vectors"]
+        self.q = np.frombuffer(self.raw, dtype).reshape(-1, self.length).astype(np.float64)
+        self.own, self.need = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["fars"]).copy()
+        self.who, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, row: dict, centre: np.ndarray, epsilon: float) -> None:
+        look = np.flatnonzero(np.unpackbits(np.frombuffer(row["look"], np.uint8), bitorder="little")[: len(self.q)])
+        q, ids = self.q[look], np.frombuffer(row["ids"], np.int64)
+        x = np.frombuffer(row["vectors"], self.dtype).reshape(-1, self.length).astype(np.float64)
+        codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), -1)
+        low, high = bounds(q, centre, codes, np.frombuffer(row["fars"]), np.frombuffer(row["owns"]), epsilon)
+        itself = self.own[look, None] == ids
+        low[itself] = -np.inf
+        need = self.need[look]
+        if len(ids) > self.k:
+            need = np.maximum(need, np.partition(low, -self.k, axis=1)[:, -self.k])
+        qi, xi = np.nonzero((high >= need[:, None]) & ~itself)
+        scores, who = _exact(q, x, qi, xi), look[qi]
+        enough = scores >= self.need[who]
+        who, ids, scores = (np.concatenate(p) for p in ((self.who, who[enough]), (self.ids, ids[xi[enough]]), (self.scores, scores[enough])))
+        best = _top(who, ids, scores, self.k)
+        self.who, self.ids, self.scores = who[best], ids[best], scores[best]
+        # sorted by query: the last of k rows is what a further row must reach
+        full = np.flatnonzero(np.bincount(self.who, minlength=len(self.q)) == self.k)
+        last = np.searchsorted(self.who, full, side="right") - 1
+        self.need[full] = np.maximum(self.need[full], self.scores[last])
+
+    def best(self) -> pa.RecordBatch:
+        size = self.length * np.dtype(self.dtype).itemsize
+        vectors = [self.raw[i * size : (i + 1) * size] for i in range(len(self.q))]
+        columns = [pa.array(self.own[self.who]), pa.array([vectors[w] for w in self.who], pa.binary()), pa.array(self.ids), pa.array(self.scores)]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vector", "vec_id", "score"])
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = NEAREST, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product found for each query row of df.
 
@@ -326,14 +365,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = NEAREST, recall: float = R
     rows = usable(df)
     index = Index(rows, k)
     queries = stage_table(rows.where(is_query), "one-bit-queries")
-    n_queries = queries.count()
     raw = F.xxhash64("vec_id", F.lit(3))
     audit = [(r.vec_id, np.asarray(r.embedding, index.dtype).tobytes(), r._of) for r in queries.orderBy(raw, "vec_id").limit(min(AUDIT, max(1, SAMPLE_BYTES // (8 * 64)))).withColumn("_of", F.lit(0)).collect()]
     truth = index.truth([(own, vector) for own, vector, _ in audit])
     probes = _needed(index, audit, truth, recall)
     epsilon = EPSILON
     while True:
-        found = stage_table(index.search(queries, n_queries, probes, epsilon), "one-bit-found")
+        found = stage_table(index.search(queries, probes, epsilon), "one-bit-found")
         reached = _recall(found, audit, truth)
         log.info("one-bit search: %s cells, bounds of %s deviations, recall %.4f of %d audited neighbours", probes, epsilon, reached, len(truth))
         if reached >= recall or (probes is None and epsilon > 2 * EPSILON):
