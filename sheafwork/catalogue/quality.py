@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import coerce, dates, formats, text, units
+from ..functions import coerce, dates, formats, spans, text, units
 from ..operators import anomaly, profile, ranking
 from . import tabular
 
@@ -111,9 +111,34 @@ def format_drift(df):
     return anomaly.format_drift(df.select("p_partkey", code.alias("code")), "code", ["p_partkey"])
 
 
-@register("anomaly_report", "customer", f"SELECT anomaly_type, n FROM (SELECT 'missing_value' AS anomaly_type, (SELECT count(*) FROM {_GAPS} WHERE {_MISS.format('c_name')}) + (SELECT count(*) FROM {_GAPS} WHERE {_MISS.format('c_mktsegment')}) AS n UNION ALL SELECT 'empty_row', (SELECT count(*) FROM {_GAPS} WHERE {_MISS.format('c_name')} AND {_MISS.format('c_mktsegment')})) t WHERE n > 0")
+_ODD = (
+    "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'N/A' WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN 'Same' ELSE c_name END AS name, "
+    "CASE WHEN c_custkey % 13 = 0 THEN ' - ' WHEN c_custkey % 17 = 0 THEN 'ONE' ELSE c_mktsegment END AS segment, "
+    "CASE WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN '7' WHEN c_custkey % 11 = 0 THEN 'B-' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS code, "
+    "CASE WHEN c_custkey % 60 = 1 THEN 1000000.0 + c_custkey ELSE c_acctbal END AS balance FROM customer"
+)
+_ODD_MISS = {c: _MISS.format(c) for c in ("name", "segment", "code")}
+_ANOMALIES = (
+    f"WITH g AS ({_ODD}), f AS (SELECT *, {' + '.join(f'CAST({m} AS INT)' for m in _ODD_MISS.values())} AS gaps FROM g), "
+    "r AS (SELECT balance AS v, row_number() OVER (ORDER BY balance) - 1 AS i, count(*) OVER () AS n FROM g), "
+    "q AS (SELECT min(v) FILTER (i = n // 4) AS q1, min(v) FILTER (i = 3 * n // 4) AS q3 FROM r), m AS (SELECT avg(balance) AS mean, stddev_samp(balance) AS sd FROM g), "
+    "o AS (SELECT count(*) AS n FROM g, q, m WHERE balance < q1 - 1.5 * (q3 - q1) OR balance > q3 + 1.5 * (q3 - q1) OR abs((balance - mean) / sd) > 3) "
+    "SELECT anomaly_type, n FROM (SELECT 'missing_value' AS anomaly_type, CAST(sum(gaps) AS BIGINT) AS n FROM f UNION ALL SELECT 'empty_row', count(*) FROM f WHERE gaps = 3 UNION ALL "
+    "SELECT 'duplicate_row', count(*) - count(DISTINCT (coalesce(name, ''), coalesce(segment, ''), coalesce(code, ''))) FROM f WHERE gaps <= 1 UNION ALL SELECT 'outlier', n FROM o UNION ALL "
+    "SELECT 'inconsistent_format', count(*) FROM g WHERE code LIKE 'B-%') t WHERE n > 0"
+)
+
+
+@register("anomaly_report", "customer", _ANOMALIES)
 def anomaly_report(df):
-    return anomaly.report(_gaps(df), "c_custkey", ["c_name", "c_mktsegment"], []).where(F.col("anomaly_type") != "duplicate_row")
+    """All six checks: gaps, empty and repeated rows, outliers by quartiles and by deviation, cells of another kind."""
+    k = F.col("c_custkey")
+    gone, same = k % 13 == 0, k % 17 == 0
+    name = F.when(k % 9 == 0, "N/A").when(gone, None).when(same, "Same").otherwise(F.col("c_name"))
+    code = F.when(gone, "").when(same, "7").when(k % 11 == 0, F.concat(F.lit("B-"), k)).otherwise(k.cast("string"))
+    segment = F.when(gone, " - ").when(same, "ONE").otherwise(F.col("c_mktsegment"))
+    balance = F.when(k % 60 == 1, 1_000_000.0 + k).otherwise(F.col("c_acctbal").cast("double"))
+    return anomaly.report(df.select("c_custkey", name.alias("name"), segment.alias("segment"), code.alias("code"), balance.alias("balance")), "c_custkey", ["name", "segment", "code"], ["balance"])
 
 
 @register("value_types", "events", "SELECT CASE WHEN event_id % 4 = 0 THEN 'boolean' WHEN event_id % 4 = 1 THEN 'numeric' WHEN event_id % 4 = 2 THEN 'date' ELSE 'text' END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -278,3 +303,25 @@ def line_diff(df):
     lines = F.split("text", "\n")
     shorter = F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1))), "\n")
     return df.select("doc_id", text.line_diff(shorter, F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+_SPANS = (
+    "WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '([\\x{0E00}-\\x{0E7F}]+|[A-Za-z]+|[^A-Za-z\\x{0E00}-\\x{0E7F}]+)')) AS run, "
+    "generate_subscripts(regexp_extract_all(text, '([\\x{0E00}-\\x{0E7F}]+|[A-Za-z]+|[^A-Za-z\\x{0E00}-\\x{0E7F}]+)'), 1) AS i FROM documents), "
+    "p AS (SELECT *, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM r), "
+    "k AS (SELECT *, CASE WHEN run ~ '^[A-Za-z]' THEN 'en' WHEN run ~ '^[\\x{0E00}-\\x{0E7F}]' THEN 'th' ELSE 'unknown' END AS language FROM p WHERE trim(run, E' \\t\\n\\r\\f\\v') <> ''), "
+    "n AS (SELECT *, language IS DISTINCT FROM lag(language) OVER (PARTITION BY doc_id ORDER BY i) AS fresh FROM k), "
+    "g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n), "
+    "s AS (SELECT doc_id, span, min(language) AS language, CAST(min(stop - length(run)) AS BIGINT) AS a, CAST(max(stop) AS BIGINT) AS e, count(*) AS runs FROM g GROUP BY ALL) "
+    "SELECT doc_id, language, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts, CAST(sum(e) AS BIGINT) AS ends, CAST(max(e - a) AS BIGINT) AS longest FROM s GROUP BY doc_id, language"
+)
+
+
+@register("language_spans", "documents", _SPANS)
+def language_spans(df):
+    """Spans of every document by the table function, and where they begin and end."""
+    spark = df.sparkSession
+    spans.register(spark)
+    df.createOrReplaceTempView("_span_documents")
+    each = spark.sql("SELECT doc_id, s.language, CAST(s.span_start AS LONG) AS a, CAST(s.span_end AS LONG) AS e FROM _span_documents, LATERAL language_spans(text) s")
+    return each.groupBy("doc_id", "language").agg(F.count("*").alias("n"), F.sum("a").alias("starts"), F.sum("e").alias("ends"), F.max(F.col("e") - F.col("a")).alias("longest"))

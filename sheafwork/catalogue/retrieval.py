@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, postings, retrieval, rows
+from ..operators import chunks, postings, retrieval, rows, staging, vector_lists
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
@@ -92,3 +92,25 @@ def first_hit_per_source(df):
 def bm25_index(df):
     """The same ranking from the stored index, which is built once for a table's files."""
     return postings.PostingIndex.stored(df).search(_TERMS, 20)
+
+
+@register("vector_lists", "embeddings", f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+def vector_lists_topk(df):
+    """The nearest found through stored lists; small tables have one list, so nothing is missed there."""
+    index = vector_lists.VectorLists.build(df, staging.new_path(df.sparkSession, "vectors"))
+    return index.search(_QUERY, 20).select("vec_id", "score")
+
+
+_COLLECTIONS = " UNION ALL ".join(
+    f"SELECT '{name}' AS collection, vec_id AS id, score FROM (SELECT vec_id, {_COS} AS score FROM embeddings WHERE label % 2 = {i} ORDER BY score DESC, vec_id LIMIT {k}) c{i}"
+    for i, (name, k) in enumerate([("even", 10), ("odd", 5)])
+)
+
+
+@register("vector_collections", "embeddings", _COLLECTIONS)
+def vector_collections(df):
+    """Two collections searched together, each with its own number of hits."""
+    own = {}
+    for i, (name, k) in enumerate([("even", 10), ("odd", 5)]):
+        own[name] = vector_lists.VectorLists.build(df.where(F.col("label") % 2 == i), staging.new_path(df.sparkSession, "vectors")), k
+    return vector_lists.search_collections(own, _QUERY)

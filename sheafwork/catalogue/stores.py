@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import incremental, metrics, stores
+from ..operators import incremental, metrics, staging, stored, stores
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
@@ -100,6 +100,20 @@ def histogram_percentiles(df):
     return metrics.histogram_stats(df, "event_type", "value").withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")}).withColumn("total", F.round("total", 4))
 
 
+_RECENT = (
+    "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS largest, round(quantile_cont(value, 0.5), 6) AS p50, "
+    "round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 "
+    "FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 1000) e GROUP BY event_type"
+)
+
+
+@register("histogram_recent", "events", _RECENT)
+def histogram_recent(df):
+    """Percentiles of each type's 1000 newest values."""
+    out = metrics.histogram_stats(df, "event_type", "value", [F.desc("ts"), F.desc("event_id")])
+    return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")}).withColumn("total", F.round("total", 4))
+
+
 @register("perf_summary", "events", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS largest, round(avg(value), 6) AS mean, count(*) FILTER (value > 50) AS exceeded, round(count(*) FILTER (value > 50) / CAST(count(*) AS DOUBLE) * 100, 4) AS exceeded_pct FROM events GROUP BY event_type")
 def perf_summary(df):
     return metrics.performance(df, "event_type", "value", F.lit(50.0)).withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 6))
@@ -147,3 +161,23 @@ def schedules(df):
 def batch_progress(df):
     status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
     return stores.progress(df.select("o_orderpriority", status.alias("status")), "o_orderpriority", "status")
+
+
+_MERGED = (
+    "SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1996 THEN 'late' ELSE 'early' END AS state, round(CASE WHEN year(o_orderdate) >= 1996 THEN 2 * o_totalprice ELSE o_totalprice END, 2) AS price "
+    "FROM orders WHERE NOT (year(o_orderdate) >= 1996 AND o_orderstatus = 'P')"
+)
+
+
+@register("stored_merge", "orders", _MERGED)
+def stored_merge(df):
+    """A stored table after two merges: later orders replace or join the first ones, some are deleted; a repeated batch changes nothing."""
+    rows = df.groupBy("o_orderkey").agg(F.first("o_orderdate").alias("day"), F.first("o_orderstatus").alias("status"), F.first("o_totalprice").alias("price"))
+    late = F.year("day") >= 1996
+    first = rows.select("o_orderkey", F.lit("early").alias("state"), F.round("price", 2).alias("price"))
+    table = stored.StoredTable.create(df.sparkSession, staging.new_path(df.sparkSession, "orders"), first.schema, ["o_orderkey"], 16)
+    table.merge(first, writer="load", batch=0)
+    updates = rows.where(late).select("o_orderkey", F.lit("late").alias("state"), F.round(2 * F.col("price"), 2).alias("price"), (F.col("status") == "P").alias("gone"))
+    for _ in range(2):
+        table.merge(updates, deleted=F.col("gone"), writer="load", batch=1)
+    return table.read()

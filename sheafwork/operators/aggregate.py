@@ -11,7 +11,7 @@ from .filters import apply_filters
 
 FUNCTIONS = {
     "sum": F.sum, "average": F.avg, "min": F.min, "max": F.max,
-    "median": F.median, "count": lambda v: F.count(F.lit(1)),
+    "count": lambda v: F.count(F.lit(1)),
 }
 
 
@@ -23,10 +23,15 @@ def aggregate(df: DataFrame, function: str, column: str, filters: list[tuple] =
     """
     kept = apply_filters(df, list(filters))
     value = plain_number(F.col(f"`{column}`"), dict(df.dtypes)[column])
-    if function == "median" and not by:
-        # Spark's exact percentile would hold every distinct value of the column in one task
-        found = profile.median(kept, value).join(F.broadcast(kept.agg(F.count("*").alias("_all"))))
-        return found.select(F.lit(function).alias("aggregation"), F.lit(column).alias("target_column"), F.col("median").alias("value"), F.col("n").alias("rows_processed"), (F.col("_all") - F.col("n")).alias("rows_skipped"))
+    if function == "median":
+        # Spark's exact percentile would hold every distinct value of the column, or of a group, in one task
+        names = by or []
+        found = profile.median(kept, value, names).select(*[F.col(f"`{b}`").alias(f"_{i}") for i, b in enumerate(names)], F.col("n").alias("rows_processed"), F.col("median").alias("value"))
+        every = kept.groupBy(*[F.col(f"`{b}`") for b in names]).agg(F.count("*").alias("_all"))
+        same = [F.col(f"`{b}`").eqNullSafe(F.col(f"_{i}")) for i, b in enumerate(names)]
+        met = every.join(found, same, "left") if names else every.crossJoin(found)  # one row each
+        n = F.coalesce("rows_processed", F.lit(0).cast("long"))
+        return met.select(*names, F.lit(function).alias("aggregation"), F.lit(column).alias("target_column"), "value", n.alias("rows_processed"), (F.col("_all") - n).alias("rows_skipped"))
     groups = [F.col(f"`{b}`") for b in by or []]
     out = kept.groupBy(*groups).agg(
         FUNCTIONS[function](value).cast("double").alias("value"),

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import profile
 
-def histogram_stats(df: DataFrame, name: str, value: str) -> DataFrame:
-    """count, sum, least, largest and exact interpolated p50, p95, p99 for each name."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = df.groupBy(name).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("largest"), p.alias("_p"))
-    return out.select(name, "n", "total", "least", "largest", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"))
+
+def histogram_stats(df: DataFrame, name: str, value: str, newest: list | None = None, keep: int = 1000) -> DataFrame:
+    """count, sum, least, largest and exact interpolated p50, p95, p99 for each name.
+
+    With an order (`newest` first) only each name's `keep` newest values count. Percentiles come from counted values laid out in
+    ranges, so no name's values are gathered in one task.
+    """
+    if newest is not None:
+        df = last_n(df, name, newest, keep)
+    rank = profile.percentiles(df, F.col(value), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, [name]).drop("n").withColumnRenamed(name, "_name")
+    out = df.groupBy(name).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("largest"))
+    return out.join(rank, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def last_n(df: DataFrame, key: str, order: list, n: int) -> DataFrame:

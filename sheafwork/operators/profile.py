@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coerce import is_missing, num_cmp, plain_number
+from . import staging
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -50,25 +51,28 @@ def patterns(profiles: DataFrame) -> DataFrame:
     return profiles.select("column", ((F.col("distinct_values") == filled) & (filled > 1)).alias("unique_identifier"), ((F.col("kind") == "text") & (F.col("distinct_values") <= 5)).alias("few_categories"), (F.col("missing") > 0.1 * F.col("n")).alias("many_missing"))
 
 
-def at_ranks(df: DataFrame, value: Column, **ranks) -> DataFrame:
-    """n and, for each name, the value whose rank from 0 is floor(function(n)).
+def at_ranks(df: DataFrame, value: Column, by: list[str] | None = None, **ranks) -> DataFrame:
+    """n and, for each name, the value whose rank from 0 is floor(function(n)); for each group of `by` columns if there are any.
 
-    Equal values are counted first, so the running total goes over distinct values. They are cut into ranges whose
-    bounds, approximate quantiles, stand in the plan as numbers: a value's range follows from the value alone, however
-    often Spark computes it. Each range's total is carried to the next, so the whole column is never in one task.
+    Equal values are counted first, map-side; the counts are laid out in ranges of (group, value) and written once. Running totals go
+    over one range each and every range's total is carried to the next, so neither a column nor a hot group is ever in one task.
     """
-    counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    groups = [F.col(f"`{b}`") for b in by or []]
+    names = [f"g{i}" for i in range(len(groups))]
+    counts = df.select(*[g.alias(n) for g, n in zip(groups, names)], value.cast("double").alias("v")).where("v is not null").groupBy(*names, "v").agg(F.count("*").alias("c"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({b for b in counts.stat.approxQuantile("v", [i / parts for i in range(1, parts)], 0.2 / parts) if b == b})
-    held = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
-    laid = counts.withColumn("p", F.size(F.filter(held, lambda b: b < F.col("v"))))
-    inside = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = laid.groupBy("p").agg(F.sum("c").alias("s"))
-    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("p", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("o"), F.sum("s").over(Window.partitionBy()).alias("n"))
-    ranked = laid.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(offsets), "p").withColumn("upto", F.col("upto") + F.col("o"))
+    laid = counts.repartitionByRange(parts, *names, "v").withColumn("p", F.spark_partition_id())
+    laid = staging.stage_table(laid, "ranks")
+    inside = Window.partitionBy(*names, "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = laid.groupBy(*names, "p").agg(F.sum("c").alias("s"))  # a row for each range, and for each group in it
+    earlier = Window.partitionBy(*names).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*[F.col(k).alias(f"_{k}") for k in [*names, "p"]], F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("o"), F.sum("s").over(Window.partitionBy(*names)).alias("n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*names, "p"]]
+    ranked = laid.withColumn("upto", F.sum("c").over(inside)).join(offsets, same).withColumn("upto", F.col("upto") + F.col("o"))
     at = lambda f: F.min(F.when(F.col("upto") > F.floor(f(F.col("n"))), F.col("v")))
-    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(f).alias(name) for name, f in ranks.items()])
+    found = ranked.groupBy(*names) if names else ranked
+    out = found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[at(f).alias(name) for name, f in ranks.items()])
+    return out.select(*[F.col(n).alias(b) for n, b in zip(names, by or [])], "n", *ranks)
 
 
 def quartiles(df: DataFrame, value: Column) -> DataFrame:
@@ -76,10 +80,20 @@ def quartiles(df: DataFrame, value: Column) -> DataFrame:
     return at_ranks(df, value, q1=lambda n: n / 4, q3=lambda n: 3 * n / 4).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def median(df: DataFrame, value: Column) -> DataFrame:
-    """n and the mean of the two middle values."""
-    middle = at_ranks(df, value, low=lambda n: (n - 1) / 2, high=lambda n: n / 2)
-    return middle.select("n", ((F.col("low") + F.col("high")) / 2).alias("median"))
+def median(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
+    """n and the mean of the two middle values, for each group of `by`."""
+    middle = at_ranks(df, value, by, low=lambda n: (n - 1) / 2, high=lambda n: n / 2)
+    return middle.select(*[F.col(f"`{b}`") for b in by or []], "n", ((F.col("low") + F.col("high")) / 2).alias("median"))
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """n and exact percentiles, interpolated between the two nearest ranks, for each group of `by`."""
+    ranks = {}
+    for name, share in shares.items():
+        ranks |= {f"{name}_low": lambda n, s=share: s * (n - 1), f"{name}_high": lambda n, s=share: F.ceil(s * (n - 1))}
+    found = at_ranks(df, value, by, **ranks)
+    between = lambda name, s: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (s * (F.col("n") - 1) - F.floor(s * (F.col("n") - 1)))
+    return found.select(*[F.col(f"`{b}`") for b in by or []], "n", *[between(name, share).alias(name) for name, share in shares.items()])
 
 
 def slope_trend(df: DataFrame, value: str, index: str) -> DataFrame:
