@@ -114,3 +114,35 @@ def vector_collections(df):
     for i, (name, k) in enumerate([("even", 10), ("odd", 5)]):
         own[name] = vector_lists.VectorLists.build(df.where(F.col("label") % 2 == i), staging.new_path(df.sparkSession, "vectors")), k
     return vector_lists.search_collections(own, _QUERY)
+
+
+_STORED_CHUNKS = "SELECT doc_id, lang AS file_id, source AS extraction_strategy, text AS chunk_text, (n_chars % 100) / 100.0 AS quality_score, n_chars % 2 = 0 AS has_numbers, n_chars % 3 = 0 AS has_dates FROM documents"
+
+
+def _stored_chunks(df):
+    """Documents as stored chunks with metadata."""
+    n = F.col("n_chars")
+    flags = [(n % 2 == 0).alias("has_numbers"), (n % 3 == 0).alias("has_dates")]
+    return df.select("doc_id", F.col("lang").alias("file_id"), F.col("source").alias("extraction_strategy"), F.col("text").alias("chunk_text"), (n % 100 / 100.0).alias("quality_score"), *flags)
+
+
+@register("chunk_filters", "documents", f"SELECT doc_id, quality_score FROM ({_STORED_CHUNKS}) c WHERE file_id = 'en' AND chunk_text ILIKE '%THAT%' AND quality_score >= 0.3")
+def chunk_filters(df):
+    return _stored_chunks(df).where(chunks.chunk_condition(file_id="en", sheet_name="THAT", least_quality=0.3)).select("doc_id", "quality_score")
+
+
+@register("analysis_filters", "documents", f"SELECT doc_id FROM ({_STORED_CHUNKS}) c WHERE has_numbers AND has_dates AND extraction_strategy = 'src3'")
+def analysis_filters(df):
+    return _stored_chunks(df).where(chunks.analysis_condition(["numbers", "dates", "words"], {"extraction_strategy": "src3"})).select("doc_id")
+
+
+_STRATEGIES = (
+    f"WITH e AS (SELECT file_id, extraction_strategy AS s, avg(quality_score) AS q FROM ({_STORED_CHUNKS}) c GROUP BY ALL), t AS (SELECT file_id, max(q) AS best, count(*) AS n, avg(q) AS mean FROM e GROUP BY 1) "
+    "SELECT file_id, n AS strategies, min(s) AS best_strategy, round(min(best), 6) AS best_score, round(min(best - mean), 6) AS lead FROM e JOIN t USING (file_id) WHERE q = best GROUP BY file_id, n"
+)
+
+
+@register("strategy_comparison", "documents", _STRATEGIES)
+def strategy_comparison(df):
+    out = chunks.compare_strategies(_stored_chunks(df), "file_id", "extraction_strategy", "quality_score")
+    return out.withColumn("best_score", F.round("best_score", 6)).withColumn("lead", F.round("lead", 6))

@@ -76,6 +76,12 @@ def comparison_rows(df):
     return rows.side_by_side(tables, order, ["o_orderkey", "o_totalprice"], 10)
 
 
+@register("comparison_counts", "orders", "SELECT 2 AS total_files, 3 AS total_columns, count(*) AS total_rows, 1 AS files_with_missing_columns FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def comparison_counts(df):
+    tables = {"closed": df.where("o_orderstatus = 'F'"), "open": df.where("o_orderstatus = 'O'").drop("o_totalprice")}
+    return rows.comparison_counts(tables, ["o_orderkey", "o_totalprice", "o_orderdate"])
+
+
 #: A document's first three words stand for a sheet's name.
 _TITLE = r"^\S+\s+\S+\s+\S+"
 _NEAR = "levenshtein(a.name, b.name) <= 3 OR 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.8"

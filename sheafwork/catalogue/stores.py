@@ -114,6 +114,17 @@ def histogram_recent(df):
     return out.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")}).withColumn("total", F.round("total", 4))
 
 
+@register("recent_records", "events", "SELECT event_id, event_type, value FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100")
+def recent_records(df):
+    return metrics.recent_records(df, [F.desc("ts"), F.desc("event_id")], "click", "event_type").select("event_id", "event_type", "value")
+
+
+@register("exceeded_records", "events", "SELECT event_id, event_type, value FROM events WHERE value > CASE WHEN event_type = 'click' THEN 40 ELSE 60 END ORDER BY ts DESC, event_id DESC LIMIT 100")
+def exceeded_records(df):
+    limit = F.when(F.col("event_type") == "click", 40).otherwise(60)
+    return metrics.exceeded_records(df, "value", limit, [F.desc("ts"), F.desc("event_id")]).select("event_id", "event_type", "value")
+
+
 @register("perf_summary", "events", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS largest, round(avg(value), 6) AS mean, count(*) FILTER (value > 50) AS exceeded, round(count(*) FILTER (value > 50) / CAST(count(*) AS DOUBLE) * 100, 4) AS exceeded_pct FROM events GROUP BY event_type")
 def perf_summary(df):
     return metrics.performance(df, "event_type", "value", F.lit(50.0)).withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 6))

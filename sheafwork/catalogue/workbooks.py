@@ -79,6 +79,23 @@ def workbook_merged_ranges(df):
     return ranges.join(rows, ["sheet_name", "first_row"]).select("label", (F.col("last_row") - F.col("first_row") + 1).alias("n_rows"))
 
 
+_LANGUAGES = (
+    "WITH r AS (SELECT lang AS sheet_name, CASE WHEN lang = 'de' THEN 'รายงานยอดขายประจำปี ' || doc_id WHEN lang = 'fr' THEN 'ยอดขาย sales' ELSE regexp_extract(text, '^\\S+') END AS title, "
+    "row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents UNION ALL SELECT DISTINCT lang, 'title', 0 FROM documents), "
+    "c AS (SELECT sheet_name, sum(length(regexp_replace(title, '[^\\p{L}\\p{N}]', '', 'g'))) AS n, "
+    "sum(length(regexp_replace(title, '[^\\x{0E01}-\\x{0E30}\\x{0E32}\\x{0E33}\\x{0E40}-\\x{0E46}\\x{0E50}-\\x{0E59}]', '', 'g'))) AS t, sum(length(regexp_replace(title, '[^A-Za-z]', '', 'g'))) AS a "
+    "FROM r WHERE i <= 100 GROUP BY 1) SELECT sheet_name, CASE WHEN n = 0 THEN 'en' WHEN t / n > 0.7 THEN 'th' WHEN a / n > 0.7 THEN 'en' WHEN t / n > 0.2 AND a / n > 0.2 THEN 'mixed' WHEN t > a THEN 'th' ELSE 'en' END AS language FROM c"
+)
+
+
+@register("sheet_languages", "documents", _LANGUAGES)
+def sheet_languages(df):
+    """The language of each sheet of a written workbook, from its first rows."""
+    title = F.when(F.col("lang") == "de", F.concat(F.lit("รายงานยอดขายประจำปี "), F.col("doc_id").cast("string"))).when(F.col("lang") == "fr", "ยอดขาย sales").otherwise(F.regexp_extract("text", r"^\S+", 0))
+    path = _book(df.select("lang", "doc_id", title.alias("title")).coalesce(1).sortWithinPartitions("lang", "doc_id").drop("doc_id"), sheetBy="lang")
+    return sheets.sheet_languages(readers.read_workbooks(df.sparkSession, path)).drop("file_name")
+
+
 _PIVOT = (
     "SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 2) AS total, count(o_custkey) AS n, round(avg(o_totalprice), 4) AS mean, "
     "grouping(o_orderpriority) = 1 AS row_total, grouping(o_orderstatus) = 1 AS column_total FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)"

@@ -73,13 +73,24 @@ def normal_dashes(text: Column) -> Column:
     return F.regexp_replace(text, "[‐-―−]", "-")
 
 
+def script_counts(text: Column) -> Column:
+    """total (letters and digits of any script), thai and latin letters of a text; zeros for null."""
+    count = lambda p: F.coalesce(F.length(F.regexp_replace(text, p, "")), F.lit(0)).cast("long")
+    thai = r"[^\x{0E01}-\x{0E30}\x{0E32}\x{0E33}\x{0E40}-\x{0E46}\x{0E50}-\x{0E59}]"
+    return F.struct(count(r"[^\p{L}\p{N}]").alias("total"), count(thai).alias("thai"), count(r"[^A-Za-z]").alias("latin"))
+
+
+def language_of_counts(total: Column, thai: Column, latin: Column) -> Column:
+    """th or en where its letters are over 0.7 of all, mixed where both are over 0.2, else the larger one; en without any."""
+    t, a = thai / total, latin / total
+    return F.when((total == 0) | total.isNull(), "en").when(t > 0.7, "th").when(a > 0.7, "en").when((t > 0.2) & (a > 0.2), "mixed").when(t > a, "th").otherwise("en")
+
+
 def script_language(text: Column) -> Column:
     """th or en where its letters and digits are over 0.7 of all, mixed where both are over 0.2, else the larger one;
     en for texts without any."""
-    count = lambda p: F.length(F.regexp_replace(text, p, ""))
-    total, thai, latin = count(r"[^\p{L}\p{N}]"), count(r"[^\x{0E01}-\x{0E30}\x{0E32}\x{0E33}\x{0E40}-\x{0E46}\x{0E50}-\x{0E59}]"), count(r"[^A-Za-z]")
-    t, a = thai / total, latin / total
-    return F.when((total == 0) | text.isNull(), "en").when(t > 0.7, "th").when(a > 0.7, "en").when((t > 0.2) & (a > 0.2), "mixed").when(t > a, "th").otherwise("en")
+    counts = script_counts(text)
+    return language_of_counts(counts["total"], counts["thai"], counts["latin"])
 
 
 def script_spans(text: Column) -> Column:

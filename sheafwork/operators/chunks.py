@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,4 +40,36 @@ def column_summaries(df: DataFrame, numeric: list[str], label: str) -> DataFrame
     return out.withColumn("content", F.format_string(f"Column %s of {label}: min %.2f, max %.2f, average %.2f", "column", "least", "largest", "mean"))
 
 
-__all__ = ["chunk_header", "chunk_rows", "column_summaries", "row_text", "window_numbers"]
+#: What a question may ask for, and the flag of a chunk's metadata that it needs.
+FLAGS = {"numbers": "has_numbers", "dates": "has_dates", "pivots": "has_pivot_tables", "charts": "has_charts"}
+
+
+def chunk_condition(file_id: str | None = None, strategy: str | None = None, sheet_name: str | None = None, content_type: str | None = None, least_quality: float | None = None) -> Column:
+    """Filters of stored chunks (file_id, extraction_strategy, chunk_text, quality_score); what is None doesn't count.
+
+    Sheet and content type are looked for in the text without regard to case; `%` and `_` in them are wildcards. The equalities and the
+    score reach the scan.
+    """
+    parts = [F.lit(True)]
+    parts += [F.col("file_id") == file_id] if file_id is not None else []
+    parts += [F.col("extraction_strategy") == strategy] if strategy is not None else []
+    parts += [F.col("chunk_text").ilike(f"%{x}%") for x in (sheet_name, content_type) if x is not None]
+    parts += [F.col("quality_score") >= least_quality] if least_quality is not None else []
+    return reduce(lambda a, b: a & b, parts)
+
+
+def analysis_condition(requested: list[str], more: dict[str, object] | None = None) -> Column:
+    """Chunks that hold what a question asks for (numbers, dates, pivots, charts) and match further metadata values."""
+    wanted = {FLAGS[r]: True for r in requested if r in FLAGS} | (more or {})
+    return reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in wanted.items()], F.lit(True))
+
+
+def compare_strategies(df: DataFrame, file: str, strategy: str, score: str) -> DataFrame:
+    """Each file's strategies: how many, the one with the best mean score (ties: first by name), its score and the lead over the mean of all."""
+    each = df.groupBy(file, strategy).agg(F.avg(score).alias("_score"))
+    top = each.groupBy(file).agg(F.max("_score").alias("best_score"), F.count("*").alias("strategies"), F.avg("_score").alias("_mean"))
+    first = each.join(top, file).where(F.col("_score") == F.col("best_score")).groupBy(file).agg(F.min(strategy).alias("best_strategy"))
+    return top.join(first, file).select(file, "strategies", "best_strategy", "best_score", (F.col("best_score") - F.col("_mean")).alias("lead"))
+
+
+__all__ = ["analysis_condition", "chunk_condition", "chunk_header", "chunk_rows", "column_summaries", "compare_strategies", "row_text", "window_numbers"]

@@ -32,5 +32,15 @@ def performance(df: DataFrame, operation: str, value: str, limit: Column) -> Dat
     return df.groupBy(operation).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"), over.alias("exceeded"), F.round(over / F.count("*") * 100, 4).alias("exceeded_pct"))
 
 
+def recent_records(df: DataFrame, order: list, operation: str | None = None, name: str = "operation", limit: int = 100) -> DataFrame:
+    """The newest records, of one operation or of all: each task keeps `limit` of them."""
+    return (df if operation is None else df.where(F.col(name) == operation)).orderBy(*order).limit(limit)
+
+
+def exceeded_records(df: DataFrame, value: str, limit_of: Column, order: list, limit: int = 100) -> DataFrame:
+    """The newest records over their limit."""
+    return df.where(F.col(value) > limit_of).orderBy(*order).limit(limit)
+
+
 def exposition(df: DataFrame, metric: str, label: str, value: str) -> DataFrame:
     return df.select(F.format_string(f"{metric}{{{label}=\"%s\"}} %s", F.col(label), F.col(value).cast("string")).alias("line"))

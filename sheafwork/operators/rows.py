@@ -103,3 +103,13 @@ def side_by_side(tables: dict[str, DataFrame], order: dict[str, list[str | Colum
         own = numbered.select("row_index", *[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).alias(f"{name}_{c}") for c in columns])
         out = own if out is None else out.join(own, "row_index", "full_outer")
     return out
+
+
+def comparison_counts(tables: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """total_files, total_columns (given), total_rows and files_with_missing_columns of a comparison; rows are counted in one job."""
+    parts = [df.select(F.lit(1).alias("one")) for df in tables.values()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    missing = sum(any(c not in df.columns for c in columns) for df in tables.values())
+    return whole.agg(F.lit(len(tables)).alias("total_files"), F.lit(len(columns)).alias("total_columns"), F.count("*").alias("total_rows"), F.lit(missing).alias("files_with_missing_columns"))

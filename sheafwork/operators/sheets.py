@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import plain_number
+from ..functions.text import language_of_counts, script_counts
 
 #: Rows of a sheet that share a bucket: a range meets a row through a bucket, so it is copied once for each of these, not once a row.
 BUCKET = 4096
@@ -71,3 +72,19 @@ def pivot_wide(long: DataFrame, rows: list[str], columns: list[str], value: str)
     blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("(blank)"))
     label = F.when(F.col("column_total"), "Total").otherwise(F.concat_ws(" / ", *[blank(c) for c in columns]))
     return long.withColumn("_label", label).groupBy(*[F.col(f"`{r}`") for r in rows], "row_total").pivot("_label").agg(F.first(F.col(f"`{value}`")))
+
+
+def sheet_languages(rows: DataFrame, sample: int = 100) -> DataFrame:
+    """language of each sheet, from its header and first `sample` rows; letters are counted by row and summed, so no sheet's text is joined."""
+    return _languages(rows.where(F.col("row_idx") <= sample + 1), _SHEET)
+
+
+def workbook_languages(rows: DataFrame, sample: int = 50) -> DataFrame:
+    """language of each file, from the header and first `sample` rows of all its sheets."""
+    return _languages(rows.where(F.col("row_idx") <= sample + 1), ["file_name"])
+
+
+def _languages(rows: DataFrame, by: list[str]) -> DataFrame:
+    counts = rows.where(F.col("cells").isNotNull()).select(*by, script_counts(F.array_join("cells", " ")).alias("c"))
+    sums = counts.groupBy(*by).agg(*[F.sum(f"c.{k}").alias(k) for k in ("total", "thai", "latin")])
+    return sums.select(*by, language_of_counts(F.col("total"), F.col("thai"), F.col("latin")).alias("language"))
