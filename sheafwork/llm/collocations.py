@@ -3,7 +3,7 @@
 1. Words are counted by language, map-side first; those with `least` occurrences get numbers in the order of their hashes. A phrase that
    occurs `least` times has only such words. Texts become arrays of these numbers (-1: any other word or the end of a piece), in a table.
 2. Candidates of k words: a trie of the candidates of k - 1 words moves over all positions at once; where a position and the next one both
-   accept, every part of the k words is frequent, and the pair (state, next word) is a key. Keys are summed map-side, then by Spark; those with `least` stay.
+   accept, every part of the k words is frequent, and the pair (state, next word) is a key. Keys are summed in tasks, dealt to piles by hash and summed there; those with `least` stay.
 3. The trie of all candidates moves over all positions once more, level by level; counts of the states are taken with bincount in each task
    and summed over tasks. Those are the counts that results use.
 4. Scores, containment and ranks are joins of the counted phrases. Products are decimals of 38 digits, so nothing is rounded.
@@ -30,7 +30,7 @@ from .common import ranked, stage_table, table
 from .words import Text, mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-PART, VOCABULARY, CHUNK, HELD = 1 << 20, 1 << 22, 1 << 20, 1 << 21
+PART, VOCABULARY, CHUNK, HELD, WORDS, PILE = 1 << 20, 1 << 22, 1 << 18, 1 << 19, 1 << 17, 1 << 21
 
 #: Pieces end at these bytes: . , ; : ! ? and \n \v \f \r.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -125,7 +125,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                         of[h] = [n, data[a:e].decode()]
                     else:
                         old[0] += n
-                if sum(map(len, held.values())) > HELD // 8 or len(totals) > HELD // 8:
+                if sum(map(len, held.values())) > WORDS or len(totals) > WORDS:
                     yield out()
         yield out()
 
@@ -237,7 +237,7 @@ class _Slots:
 
     def __init__(self, symbols: int):
         self.symbols, self.top = symbols, max(symbols, 1)
-        self.used = np.zeros(self.top, bool)
+        self.random, self.used = np.random.default_rng(symbols), np.zeros(self.top, bool)
         self.base, self.check = np.zeros(self.top, np.int64), np.full(self.top, -1, np.int64)
 
     def _grow(self, size: int) -> None:
@@ -267,22 +267,18 @@ class _Slots:
         return states
 
     def _fit(self, parent: int, symbols: np.ndarray) -> np.ndarray:
-        """The first base found at which all symbols' slots are free; after some tries, behind all slots."""
-        free = np.flatnonzero(~self.used[: self.top])
-        for i in range(0, min(len(free), 4096), 256):
-            base = free[i : i + 256] - symbols[0]
-            inside = base + symbols[-1] < self.top
-            slots = (base[inside, None] + symbols).reshape(-1, len(symbols))
-            ok = np.flatnonzero(~self.used[slots].any(1) & (slots[:, 0] >= 0))
-            if len(ok):
-                base = int(base[inside][ok[0]])
-                break
-        else:
-            base = self.top - int(symbols[0])
-            self._grow(base + int(symbols[-1]) + 1)
-        slots = base + symbols
-        self.used[slots], self.check[slots], self.base[parent] = True, parent, base
-        return slots
+        """A base at which all symbols' slots are free, from random tries; the arrays grow by a quarter when none is found."""
+        apart = symbols - symbols[0]
+        tries = max(16, min(1024, (1 << 18) // len(symbols)))
+        while True:
+            for _ in range(16 if self.top > apart[-1] else 0):
+                slots = self.random.integers(0, self.top - apart[-1], tries)[:, None] + apart
+                ok = np.flatnonzero(~self.used[slots].any(1))
+                if len(ok):
+                    slots = slots[ok[0]]
+                    self.used[slots], self.check[slots], self.base[parent] = True, parent, slots[0] - symbols[0]
+                    return slots
+            self._grow(max(self.top + self.top // 4, self.top + int(apart[-1]) + 1))
 
 
 class Tries:
@@ -318,23 +314,46 @@ class Tries:
                 yield part, Trie(*[np.frombuffer(a, np.int32) for a in row.arrays])
 
 
-def _sum_keys(ids: DataFrame, keys, part: int, least: int) -> DataFrame:
+def _dealt(keys: np.ndarray, counts: np.ndarray, piles: int) -> pa.RecordBatch:
+    """Counts dealt to piles by a hash of the key: one row of two arrays for each pile."""
+    of = (mix(keys.view(np.uint64)) % np.uint64(piles)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if len(order) else []
+    columns = [pa.array([int(of[p[0]]) for p in parts], pa.int64())]
+    columns += [pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype(np.int64).tobytes() for p in parts], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["pile", "keys", "counts"])
+
+
+def _added_up(dealt: DataFrame, least: int) -> DataFrame:
+    """key, f of the keys whose counts sum to `least` or more; a task adds up the arrays of one pile."""
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        keys, counts = (np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in rows.column(c)]) for c in ("keys", "counts"))
+        order = np.argsort(keys, kind="stable")
+        keys, sums = keys[order], np.cumsum(counts[order])
+        last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))
+        total = np.diff(np.concatenate([[0], sums[last]]))
+        enough = total >= least
+        return pa.table({"key": keys[last][enough], "f": total[enough]})
+
+    return dealt.groupBy("pile").applyInArrow(add_up, "key long, f long")
+
+
+_DEALT = "pile long, keys binary, counts binary"
+
+
+def _sum_keys(ids: DataFrame, keys, part: int, least: int, piles: int) -> DataFrame:
     """part, key, f of the keys that `keys` finds in the arrays, where they sum to `least` or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["key", "f"])
-
         for batch in batches:
             for data in batch.column(0):
                 for found in sums.add(keys(np.frombuffer(data.as_buffer(), np.int32))):
-                    yield out(found)
-        yield out(sums.merged())
+                    yield _dealt(*found, piles)
+        yield _dealt(*sums.merged(), piles)
 
-    summed = ids.mapInArrow(count, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
-    return summed.where(F.col("f") >= least).withColumn("part", F.lit(part))
+    return _added_up(ids.mapInArrow(count, _DEALT), least).withColumn("part", F.lit(part))
 
 
 def _pairs(ids: np.ndarray) -> np.ndarray:
@@ -361,17 +380,22 @@ def _longer(trie: Trie, k: int, whole: bool):
     return keys
 
 
-def candidates(ids: DataFrame, least: int, longest: int) -> DataFrame:
+def _piles(n_words: int) -> int:
+    """Piles of counts: their number grows with the words, so that none does."""
+    return max(64, math.ceil(n_words / PILE))
+
+
+def candidates(ids: DataFrame, least: int, longest: int, n_words: int) -> DataFrame:
     """phrase (array of word numbers): all of 2 to `longest` words that occur `least` times."""
-    key = F.col("key")
+    key, piles = F.col("key"), _piles(n_words)
     word, front = key.bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("key", 32)
-    found = stage_table(_sum_keys(ids, _pairs, 0, least).select(F.array(front.cast("int"), word).alias("phrase")), "collocation-2")
+    found = stage_table(_sum_keys(ids, _pairs, 0, least, piles).select(F.array(front.cast("int"), word).alias("phrase")), "collocation-2")
     every = found
     for k in range(3, longest + 1):
         tries = Tries(every if k == 3 else every.where(F.size("phrase") < k), f"trie-{k}")
         new = None
         for part, trie in tries:
-            some = _sum_keys(ids, _longer(trie, k, tries.parts == 1), part, least)
+            some = _sum_keys(ids, _longer(trie, k, tries.parts == 1), part, least, piles)
             some = some.select("part", front.alias("state"), word.alias("word"))
             some = stage_table(some, f"collocation-{k}") if tries.parts > 1 else some
             new = some if new is None else new.unionByName(some)
@@ -382,9 +406,9 @@ def candidates(ids: DataFrame, least: int, longest: int) -> DataFrame:
     return every
 
 
-def count_phrases(ids: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
+def count_phrases(ids: DataFrame, phrases: DataFrame, longest: int, n_words: int) -> DataFrame:
     """phrase, f: occurrences of the candidates, by bincounts of the states of their tries."""
-    tries = Tries(phrases, "trie")
+    tries, piles = Tries(phrases, "trie"), _piles(n_words)
     out = phrases.withColumn("f", F.lit(0).cast("long")).limit(0)
     for part, trie in tries:
 
@@ -395,9 +419,9 @@ def count_phrases(ids: DataFrame, phrases: DataFrame, longest: int) -> DataFrame
                     for _, state in trie.walk(np.frombuffer(data.as_buffer(), np.int32), longest):
                         counts += np.bincount(state, minlength=len(counts))
             seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["state", "f"])
+            yield _dealt(seen, counts[seen], piles)
 
-        summed = ids.mapInArrow(count, "state long, f long").groupBy("state").agg(F.sum("f").alias("f"))
+        summed = _added_up(ids.mapInArrow(count, _DEALT), 1).withColumnRenamed("key", "state")
         out = out.unionByName(summed.join(tries.states.where(F.col("part") == part), "state").select("phrase", "f"))
     return stage_table(out, "collocation-counts")
 
@@ -413,9 +437,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     numbered = ranked(words.where(F.col("word").isNotNull()), ["hash", "lang", "word"], "collocation-numbers")
     vocabulary = numbered.select("lang", "word", "hash", "rank", "f")
     ids = encode(rows, vocabulary, vocabulary.count())
-    phrases = candidates(ids, least, longest)
+    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    phrases = candidates(ids, least, longest, n_words)
     # phrases as words: only their own language's words have their numbers
-    counted = count_phrases(ids, phrases, longest).where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("no"), "phrase", "f")
+    counted = count_phrases(ids, phrases, longest, n_words).where(F.col("f") >= least).select(F.monotonically_increasing_id().alias("no"), "phrase", "f")
     spelt = counted.select("no", "f", F.posexplode("phrase").alias("pos", "rank")).join(vocabulary.select("rank", "lang", "word"), "rank")
     spelt = spelt.groupBy("no").agg(F.first("lang").alias("lang"), F.first("f").alias("a"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
     spelt = stage_table(spelt.select("lang", "a", F.col("w.word").alias("words")), "collocation-phrases")
