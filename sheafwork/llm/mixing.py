@@ -9,13 +9,15 @@ blocks that each hold the sources in their proportions.
 No source passes through one task: permutations are range-partitioned over (source, pass, key) and summed by
 partition. Only figures over sources, never over documents, reach the driver. Null sources count as ''. Documents
 without a token (null or empty texts) have weight 0 and follow the documents before them; repeated rows with
-equal keys stay neighbours. An empty table gives an empty result.
+equal keys stay neighbours. An empty table gives an empty result. Very long texts are encoded whole and count as one
+document; extra columns are ignored by the schedule and pass through the pipeline stage.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_parts, stage_table, table
 from .tokens import token_counts
 
-EVENNESS, REPEATS, BLOCKS, SEED = 0.95, 4.0, 64, 5
+#: Target entropy as a share of that of equal weights, most passes over a source, fewest blocks and most tokens of a block on average.
+EVENNESS, REPEATS, BLOCKS, BLOCK_TOKENS, SEED = 0.999, 4.0, 64, 1 << 26, 5
 
 
 def find_exponent(shares: DataFrame, evenness: float = EVENNESS, repeats: float = REPEATS, budget: float = 1.0) -> float:
@@ -77,10 +80,12 @@ def source_budgets(sized: DataFrame, evenness: float = EVENNESS, repeats: float
     return out.withColumn("passes", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
 
 
-def schedule(sized: DataFrame, budgets: DataFrame, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def schedule(sized: DataFrame, budgets: DataFrame, blocks: int | None = None, seed: int = SEED) -> DataFrame:
     """From (doc_id, source, n_tokens, key): one row for each copy with its pass, the tokens before it in its
     source's schedule, its place in [0, 1) and its block. A document starts in the last pass if the rest of the
-    budget isn't used up before it."""
+    budget isn't used up before it. Without a number of blocks there are BLOCKS, or as many as make BLOCK_TOKENS each."""
+    if blocks is None:
+        blocks = max(BLOCKS, math.ceil((budgets.agg(F.sum("budget")).first()[0] or 0) / BLOCK_TOKENS))
     each = sized.join(budgets.select("source", "tokens", "budget", "passes", "rest"), "source")
     copies = each.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)))).where(F.col("budget") > 0)
     copies = copies.withColumn("place_key", F.xxhash64("key", "pass", F.lit(seed)))
@@ -91,13 +96,14 @@ def schedule(sized: DataFrame, budgets: DataFrame, blocks: int = BLOCKS, seed: i
     def summed(batches):
         part, last, run = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            before = []
-            for source, number, n in zip(*(batch.column(names.index(x)).to_pylist() for x in ("source", "pass", "n_tokens"))):
-                if (source, number) != last:
-                    last, run = (source, number), 0
-                before.append(run)
-                run += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(before), pa.int64()), pa.array(before, pa.int64())], names=[*names, "_part", "_before"])
+            if not batch.num_rows:
+                continue
+            of, number, n = (np.asarray(batch.column(names.index(x))) for x in ("source", "pass", "n_tokens"))
+            new = np.concatenate([[(of[0], number[0]) != last], (of[1:] != of[:-1]) | (number[1:] != number[:-1])])
+            total, first = np.cumsum(n) - n, np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            before = np.where(first < 0, total + run, total - total[first])
+            last, run = (of[-1], number[-1]), int(before[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part), pa.int64()), pa.array(before, pa.int64())], names=[*names, "_part", "_before"])
 
     plain = laid.select(*names)
     schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", _part long, _before long"
@@ -138,6 +144,7 @@ def mix(docs: DataFrame, evenness: float = EVENNESS, repeats: float = REPEATS, b
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of `documents` in their sources' schedules; nulls, ties, repeated rows and empty tables as above."""
     return mix(table(spark, sf_dir, "documents")).drop("key", "place_key")
 
 

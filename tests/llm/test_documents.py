@@ -297,6 +297,43 @@ def test_mixing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def test_mixing_target_acts_on_whole_tables(spark):
+    """The registered target binds: exponent below 1, some documents repeat, some are left out, and blocks hold the sources in proportion."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sized = mixing.sized_documents(docs)
+    budgets = {r.source: r for r in mixing.source_budgets(sized).collect()}
+    assert all(0 < r.exponent < 1 for r in budgets.values())
+    w = [r.weight for r in budgets.values()]
+    assert -sum(x * math.log(x) for x in w) >= mixing.EVENNESS * math.log(len(w)) - 1e-6
+    taken = mixing.op7_mixing(spark, sf).collect()
+    copies = Counter(r.doc_id for r in taken)
+    assert max(copies.values()) > 1 and len(copies) < docs.select("doc_id").distinct().count()
+    assert Counter(r.doc_id for r in mixing.mixed_documents(docs).select("doc_id").collect()) == copies
+    longest = max(r.n_tokens for r in taken)
+    tokens: Counter = Counter()
+    for r in taken:
+        tokens[r.source, r.block] += r.n_tokens
+    for source, b in budgets.items():
+        assert sum(n for (s, _), n in tokens.items() if s == source) == pytest.approx(b.budget, abs=longest)
+        own = [r for r in taken if r.source == source]
+        upto = 0  # a block begins where its share of the budget begins, whatever the other sources do
+        for r in sorted(own, key=lambda r: r.source_start):
+            assert r.source_start == upto and r.block == min(int(r.source_start / b.budget * 64), 63)
+            upto += r.n_tokens
+    assert {r.block for r in taken} == set(range(64))
+
+
+def test_mixing_more_blocks_for_more_tokens(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1000)
+    sized = spark.createDataFrame([(i, f"s{i % 3}", 100, i) for i in range(3000)], "doc_id long, source string, n_tokens long, key long")
+    taken = mixing.schedule(sized, mixing.source_budgets(sized)).collect()
+    sums: Counter = Counter()
+    for r in taken:
+        sums[r.block] += r.n_tokens
+    assert len(sums) == 300 and max(sums.values()) <= 1200
+
+
 def test_mixing_exponent(spark):
     shares = spark.createDataFrame([(0.9,), (0.05,), (0.05,)], "share double")
     a = mixing.find_exponent(shares, evenness=0.8, repeats=100)
@@ -392,3 +429,27 @@ def test_prefix_depth(spark):
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert EXTRA
+
+
+def test_langid_holds_many_languages(spark):
+    """Two hundred languages: each is fitted in a task of its own, and the driver holds the model alone."""
+    import random
+    import resource
+
+    rng = random.Random(8)
+    rows = []
+    for lang in range(200):
+        stems = ["".join(chr(97 + rng.randrange(26)) for _ in range(4)) for _ in range(12)]
+        rows += [(lang * 100 + i, " ".join(rng.choice(stems) for _ in range(60)), f"l{lang:03d}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = langid.identify(docs, common.fold_of(F.col("doc_id"), 3) != 1).select("row.lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.98
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000  # KB
+
+
+def test_langid_refuses_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.identify(docs, F.lit(True))
