@@ -7,7 +7,7 @@ what that centroid's own texts reach.
 
 Null texts and texts without a letter: `und`, score 0, rejected. Ties between centroids go to the
 alphabetically first language. With nothing to learn from, every text is `und`. Any other columns of the
-input are ignored; repeated rows are judged alike.
+input are ignored; repeated rows are judged alike; very long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import bounded_sample, fold_of, packed, table
+from .common import bounded_sample, fold_of, packed, stage_table, table
 
-BINS = 1 << 13
+BINS, LANGUAGES = 1 << 13, 1000
 #: Texts of fewer grams than this are sparse: the least cosine asked of them falls with the root of their size.
 FULL = 600
 _letters: np.ndarray | None = None
@@ -99,41 +99,54 @@ def sample_by_class(docs: DataFrame, of: str, cap: int) -> DataFrame:
     doc_id and text, so that most texts are never shuffled; bounded_sample then keeps at most 2 * cap different ones."""
     sizes = docs.groupBy(of).agg(F.count("*").alias("_size"))
     share = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    likely = docs.join(F.broadcast(sizes), of).where(share < cap / F.col("_size")).drop("_size")
+    likely = docs.join(sizes, of).where(share < cap / F.col("_size")).drop("_size")
     return bounded_sample(likely, of, 2 * cap)
 
 
-def fit(sample: DataFrame, per_language: int, centroids: int = 4) -> Model:
-    """From sample_by_class(): at most 2 * per_language texts and SAMPLE_BYTES of a language reach the driver."""
-    rows = sorted((r["lang"], r["text"]) for r in sample.select("lang", "text").collect())
-    rows = [(lang, c) for lang, text in rows if (c := gram_counts(text)) is not None]
+def _frequencies(batches):
+    """One row for each task: texts, and in how many of them each gram occurs."""
+    n, seen = 0, np.zeros(BINS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            if (counts := gram_counts(text.as_py())) is not None:
+                n, seen = n + 1, seen + (counts > 0)
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names=["n", "seen"])
+
+
+def fit(sample: DataFrame, centroids: int = 4) -> Model:
+    """From sample_by_class(): tasks count document frequencies, and one task a language fits its centroids to its bounded sample.
+
+    The driver adds up one row for each task of the sample and holds the model alone, 32 KB a centroid; more than LANGUAGES values of `lang` are refused.
+    """
+    sample = stage_table(sample.select("lang", "text"), "langid-sample")
+    counts = sample.select("text").mapInArrow(_frequencies, "n long, seen binary").collect()
+    n, seen = sum(r.n for r in counts), sum((np.frombuffer(r.seen, np.int64) for r in counts), np.zeros(BINS, np.int64))
+    if sample.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
+
+    def one_language(rows: pa.Table) -> pa.Table:
+        lang = rows.column("lang")[0].as_py()
+        counts = [c for text in sorted(rows.column("text").to_pylist()) if (c := gram_counts(text)) is not None]
+        found: list[dict] = []
+        if counts:
+            x = _unit(np.stack([np.log1p(c).astype(np.float32) for c in counts]) * idf)
+            centres, cos = spherical_means(x, centroids)
+            own = (x @ centres.T).argmax(1)
+            # the loosest bound of a language holds for all of its centroids: a small cluster must not reject
+            least = min(0.5 * float(np.quantile(cos[own == j], 0.01)) if (own == j).any() else 0.0 for j in range(len(centres)))
+            found = [{"lang": lang, "place": j, "centroid": c.astype(np.float32).tobytes(), "least": least} for j, c in enumerate(centres)]
+        return pa.Table.from_pylist(found, pa.schema([("lang", pa.string()), ("place", pa.int32()), ("centroid", pa.binary()), ("least", pa.float64())]))
+
+    rows = sorted(sample.groupBy("lang").applyInArrow(one_language, "lang string, place int, centroid binary, least double").collect())
     if not rows:
         return Model(np.ones(BINS, np.float32), np.zeros((0, BINS), np.float32), [], np.zeros(0))
-    grouped: dict[str, list[np.ndarray]] = {}
-    seen = np.zeros(BINS, np.int64)
-    for lang, counts in rows:
-        seen += counts > 0
-        if len(own := grouped.setdefault(lang, [])) < 2 * per_language:
-            own.append(np.log1p(counts).astype(np.float32))
-    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    found, languages, least = [], [], []
-    for lang in sorted(grouped):
-        x = _unit(np.stack(grouped.pop(lang)) * idf)
-        centres, cos = spherical_means(x, centroids)
-        own = (x @ centres.T).argmax(1)
-        for j, centre in enumerate(centres):
-            found.append(centre)
-            languages.append(lang)
-            inside = cos[own == j]
-            least.append(0.5 * float(np.quantile(inside, 0.01)) if len(inside) else 0.0)
-    # the loosest bound of a language holds for all of its centroids: a small cluster must not reject
-    low = {lang: min(x for x, y in zip(least, languages) if y == lang) for lang in set(languages)}
-    return Model(idf, np.stack(found).astype(np.float32), languages, np.array([low[x] for x in languages]))
+    return Model(idf, np.stack([np.frombuffer(r.centroid, np.float32) for r in rows]), [r.lang for r in rows], np.array([r.least for r in rows]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """row (a struct of all columns of docs), lang_pred, score and rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by BINS and the number of languages
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 4 x 32 KB a language at most, LANGUAGES at most
     plain = packed(docs, "text")
     schema = StructType([plain.schema["row"], *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("rejected", BooleanType())))])
 
@@ -151,10 +164,11 @@ def identify(docs: DataFrame, learn_from: Column, per_language: int = 400) -> Da
     """predict() over docs. Learns from the text and non-null lang of rows where `learn_from`
     holds, about `per_language` of them for each language (the bound of the classifier's sample)."""
     known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    return predict(docs, fit(sample_by_class(known, "lang", per_language), per_language))
+    return predict(docs, fit(sample_by_class(known, "lang", per_language)))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of `documents`, learnt without the held-out third; nulls, ties and empty tables as above."""
     docs = table(spark, sf_dir, "documents")
     fold = fold_of(F.col("doc_id"), 3)
     found = identify(docs.select("doc_id", "text", "lang"), fold != 1)
