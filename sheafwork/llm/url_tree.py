@@ -7,9 +7,10 @@ merged into `+`; `**` is whatever follows. A template is blocked
 if its bad rate, smoothed towards its host's and the host's towards the whole, is over a limit. Given rules for
 (host, path) come first.
 
-Only counts by shape are ever grouped; pages meet their template again in one join, salted so that no host or
-path fills a task. Null URLs and those without `://` have an empty host and path and are one template of
-their own. Pages may repeat; each row is judged. Without any label every template is allowed.
+Only counts by shape are ever grouped; pages meet their template again in one join. Shapes that hold many pages are salted
+there, so that no host or path fills a task; the many shapes of few pages are not copied. Null URLs and those without `://` have an empty host and path and are one template of
+their own. Pages may repeat; each row is judged. Without any label every template is allowed. An empty table gives an empty
+result; extra columns are ignored; very long URLs are read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from .common import stage_table, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SALTS = 32
+#: Copies of the verdict of a hot shape, and how many shapes can be hot.
+SALTS, HOT = 32, 256
 #: The segment of a path that ends in its node.
 END = "\x00"
 
@@ -128,6 +130,12 @@ def template_verdicts(templates: DataFrame, limit: float = 0.5, strength: float
     return templates.select("host", "shape", "template").join(rated, ["host", "template"])
 
 
+def hot_shapes(shapes: DataFrame) -> DataFrame:
+    """host, shape, _hot of the shapes with at least 1 / HOT of all pages: no more than HOT rows, whatever the table, so they are broadcast."""
+    total = shapes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return F.broadcast(shapes.where(F.col("n") * HOT >= max(total, 1)).select("host", "shape", F.lit(True).alias("_hot")))
+
+
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.5) -> DataFrame:
     """From pages (page_id, url) and labels (page_key, bad 0 or 1; pages' key is the number that ends their
     path): page_id, host, path, rule, verdict, template and bad_rate."""
@@ -138,10 +146,13 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     # a null or much repeated key is spread: counts by key first, then one row for each key meets its label
     keyed = parsed.groupBy("host", "shape", "_key").agg(F.count("*").alias("n")).join(marked, "_key", "left")
     shapes = keyed.groupBy("host", "shape").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("_bad").isNotNull(), F.col("n"))), F.lit(0)).alias("labelled"), F.coalesce(F.sum(F.col("_bad") * F.col("n")), F.lit(0)).alias("bad"))
-    verdicts = template_verdicts(grow_templates(stage_table(shapes, "url-shapes")), limit)
-    salted = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shapes = stage_table(shapes, "url-shapes")
+    hot = hot_shapes(shapes)
+    verdicts = template_verdicts(grow_templates(shapes), limit).join(hot, ["host", "shape"], "left")
+    salted = verdicts.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     rule, ruled = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = parsed.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).otherwise(0)
+    rows = parsed.join(hot, ["host", "shape"], "left").withColumn("_salt", salt).drop("_hot")
     out = rows.join(salted, ["host", "shape", "_salt"], "left")
     verdict = F.coalesce(ruled, F.when(F.col("blocked"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "bad_rate")

@@ -218,3 +218,16 @@ def test_pipeline(spark, tmp_path):
             assert {r.doc_id for r in docs.collect()} <= {r[0] for r in rows}
     assert counts["toxicity"] == len(rows) > counts["language_id"] > counts["ngram_jaccard"], json.dumps(counts)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts["packing"]
+
+
+def test_only_hot_shapes_are_copied(spark):
+    rows = [(i, f"http://a.com/news/{'x' * (i % 40)}-story-{i}") for i in range(600)] + [(1000 + i, "http://hot.com/same") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([], "page_key long, bad int")
+    host, path = url_tree.host_and_path(F.col("url"))
+    shapes = pages.select(host.alias("host"), url_tree.shape(path).alias("shape")).groupBy("host", "shape").count().withColumnRenamed("count", "n")
+    hot = url_tree.hot_shapes(shapes).collect()
+    assert 1 <= len(hot) <= url_tree.HOT and "hot.com" in {r.host for r in hot}
+    assert url_tree.hot_shapes(shapes.limit(0)).count() == 0
+    out = url_tree.judge_urls(pages, labels)
+    assert out.count() == 1000 and {r.verdict for r in out.collect()} == {"allow"}
