@@ -69,7 +69,10 @@ class LastMessages(StatefulProcessor):
 
 
 def last_messages(messages: DataFrame, keep: int = 10, ttl_ms: int = 3_600_000, idle_ms: int | None = None) -> DataFrame:
-    """A stream of conv_id, turn, text as updates of each conversation's last `keep` messages by turn."""
+    """A stream of conv_id, turn, text as updates of each conversation's last `keep` messages by turn.
+
+    Time to live and timers go by the clock, so batches go on without data: start it with a processing-time trigger, not with availableNow.
+    """
     own = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
     return own.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=LastMessages(keep, ttl_ms, idle_ms), outputStructType=COLUMNS, outputMode="Update", timeMode="processingTime")
 

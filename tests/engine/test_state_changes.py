@@ -4,6 +4,8 @@ import os
 import random
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sheafwork.functions import spans
@@ -13,6 +15,17 @@ from sheafwork.streaming import state
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def rocksdb(spark):
+    """The state store that arbitrary state needs, and few state partitions."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    state.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def run(df, tmp_path, name, mode="update"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
     try:
@@ -21,49 +34,47 @@ def run(df, tmp_path, name, mode="update"):
         q.stop()
 
 
-def test_shuffled_messages_end_like_the_batch(spark, tmp_path):
-    state.use_rocksdb(spark)
+def test_shuffled_messages_end_like_the_batch(spark, rocksdb, tmp_path):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "text").limit(60).collect()
+    random.Random(3).shuffle(rows)
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    newest = {}
+    q = state.last_messages(stream, 3).writeStream.format("memory").queryName("last_messages").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="200 milliseconds").start()
     try:
-        rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "text").limit(120).collect()
-        random.Random(3).shuffle(rows)
-        for i in range(4):
-            spark.createDataFrame(rows[i::4], "conv_id long, turn long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-            time.sleep(0.05)
-        stream = spark.readStream.schema("conv_id long, turn long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        run(state.last_messages(stream, 3), tmp_path, "last_messages")
-        newest = {}
-        for r in spark.table("last_messages").collect():
-            if r.conv_id not in newest or r.n_messages >= newest[r.conv_id].n_messages:
-                newest[r.conv_id] = r
-        want = {}
-        for r in rows:
-            want.setdefault(r.conv_id, []).append((r.turn, r.text))
-        assert {c: (r.n_messages, list(zip(r.turns, r.last_texts))) for c, r in newest.items()} == {c: (len(v), sorted(v)[-3:]) for c, v in want.items()}
-        assert spark.table("last_messages").count() > len(want)  # several batches
+        until = time.time() + 120
+        while time.time() < until and sum(r.n_messages for r in newest.values()) < len(rows):
+            time.sleep(0.5)
+            for r in spark.table("last_messages").collect():
+                if r.conv_id not in newest or r.n_messages >= newest[r.conv_id].n_messages:
+                    newest[r.conv_id] = r
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
-def test_idle_conversations_close_and_expire(spark, tmp_path):
-    state.use_rocksdb(spark)
+        q.stop()
+    want = {}
+    for r in rows:
+        want.setdefault(r.conv_id, []).append((r.turn, r.text))
+    assert {c: (r.n_messages, list(zip(r.turns, r.last_texts))) for c, r in newest.items()} == {c: (len(v), sorted(v)[-3:]) for c, v in want.items()}
+    assert spark.table("last_messages").count() > len(want)  # several batches
+
+
+def test_idle_conversations_close_and_expire(spark, rocksdb, tmp_path):
+    schema = "conv_id long, turn long, text string"
+    spark.createDataFrame([(1, 1, "a")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = state.last_messages(stream, 3, ttl_ms=60_000, idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("update").option("checkpointLocation", f"{tmp_path}/idle").trigger(processingTime="200 milliseconds").start()
     try:
-        schema = "conv_id long, turn long, text string"
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        spark.createDataFrame([(1, 1, "a")], schema).write.mode("append").parquet(f"{tmp_path}/in")
-        q = state.last_messages(stream, 3, ttl_ms=60_000, idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("update").option("checkpointLocation", f"{tmp_path}/idle").trigger(processingTime="200 milliseconds").start()
-        try:
-            until = time.time() + 60
-            while time.time() < until and not spark.table("idle").where("closed").count():
-                time.sleep(0.5)
-            spark.createDataFrame([(1, 2, "b")], schema).write.mode("append").parquet(f"{tmp_path}/in")
-            while time.time() < until and spark.table("idle").where("not closed").count() < 2:
-                time.sleep(0.5)
-        finally:
-            q.stop()
-        got = [(r.n_messages, r.last_texts, r.closed) for r in spark.table("idle").collect()]
-        assert got[:2] == [(1, ["a"], False), (1, ["a"], True)] and got[2] == (1, ["b"], False)  # the old message is forgotten
+        until = time.time() + 60
+        while time.time() < until and not spark.table("idle").where("closed").count():
+            time.sleep(0.5)
+        spark.createDataFrame([(1, 2, "b")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        while time.time() < until and spark.table("idle").where("not closed").count() < 2:
+            time.sleep(0.5)
     finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        q.stop()
+    got = [(r.n_messages, r.last_texts, r.closed) for r in spark.table("idle").collect()]
+    assert got[:2] == [(1, ["a"], False), (1, ["a"], True)] and got[2] == (1, ["b"], False)  # the old message is forgotten
 
 
 def test_traces_stream_equals_batch(spark, tmp_path):
