@@ -8,7 +8,7 @@ prompt whose ids bear no loss, as in instruction data: `exchanges` makes such ro
 Documents are dealt to groups of about GROUP by a hash of their place in the input, so that no id, source or
 text can fill a group; each group packs its own tails, at the price of one part-filled sequence. Null and empty
 texts have only the closing id. Repeated rows are packed each on its own. An empty table gives no piece; extra
-columns are ignored.
+columns are ignored. Very long texts are encoded whole and cut into full sequences.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import stage_table, table
 from .tokens import RANKS, encoder
 
-LENGTH, SEGMENTS, GROUP = 1024, 64, 4096
+#: Plain documents have as many segments as ids at most, so that short texts fill sequences; instruction data takes INSTRUCTION_SEGMENTS.
+LENGTH, SEGMENTS, INSTRUCTION_SEGMENTS, GROUP = 1024, 1024, 64, 4096
 
 
 def pack_vectors(demands: np.ndarray, limits: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:

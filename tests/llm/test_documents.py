@@ -453,3 +453,11 @@ def test_langid_refuses_too_many_languages(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="languages"):
         langid.identify(docs, F.lit(True))
+
+
+def test_short_texts_fill_sequences(spark):
+    """Documents of a few ids: no limit on segments leaves a sequence half empty."""
+    docs = spark.createDataFrame([(i, f"w{i % 7}") for i in range(3000)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    total = sum(r.length for r in rows)
+    assert total >= 0.9 * 1024 * len({r.sequence_id for r in rows}) and total > 5000
