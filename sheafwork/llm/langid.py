@@ -97,9 +97,13 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray
 def sample_by_class(docs: DataFrame, of: str, cap: int) -> DataFrame:
     """`of` and text: about `cap` rows for each value of `of` (the whole class if it is smaller), chosen by a hash of
     doc_id and text, so that most texts are never shuffled; bounded_sample then keeps at most 2 * cap different ones."""
-    sizes = docs.groupBy(of).agg(F.count("*").alias("_size"))
+    sizes = docs.groupBy(of).agg(F.count("*").alias("_size")).limit(LANGUAGES + 1)
+    found = sizes.collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = docs.sparkSession.createDataFrame(found, sizes.schema)  # LANGUAGES rows at most
     share = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    likely = docs.join(sizes, of).where(share < cap / F.col("_size")).drop("_size")
+    likely = docs.join(F.broadcast(sizes), of).where(share < cap / F.col("_size")).drop("_size")
     return bounded_sample(likely, of, 2 * cap)
 
 
@@ -121,8 +125,6 @@ def fit(sample: DataFrame, centroids: int = 4) -> Model:
     sample = stage_table(sample.select("lang", "text"), "langid-sample")
     counts = sample.select("text").mapInArrow(_frequencies, "n long, seen binary").collect()
     n, seen = sum(r.n for r in counts), sum((np.frombuffer(r.seen, np.int64) for r in counts), np.zeros(BINS, np.int64))
-    if sample.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
 
     def one_language(rows: pa.Table) -> pa.Table:
