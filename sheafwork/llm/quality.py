@@ -4,7 +4,7 @@ good, not the unanimity of the rules, keeps a document.
 
 Only vote patterns and their counts reach the driver: with m rules at most 3^m rows, whatever the corpus.
 Null and empty texts have no words: they fail the base rule and every count is 0. Repeated rows are judged
-alike, each on its own. An empty table gives an empty result.
+alike, each on its own. An empty table gives an empty result. Extra columns are ignored; very long texts are read whole.
 """
 
 from __future__ import annotations

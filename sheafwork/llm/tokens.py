@@ -3,6 +3,9 @@
 Ids are those of a byte-level vocabulary from a public tokenizer file (a parameter; nothing is trained).
 Texts are split before every single blank between two visible characters: this vocabulary's own splitting
 pattern never joins anything across such a blank, so pieces can be encoded once and remembered.
+
+Null texts are empty; repeated rows count each time; very long texts are encoded whole; extra columns are ignored; an empty table has an empty
+histogram. Suffix sums go over the different lengths in one task: they are no more than the longest text has ids.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ that formula, so the trained model also says *which* sentences offend.
 
 Features of a sentence are its words (lower case) and their first 3 to 7 bytes, by hash. Sentences end at
 . ! ? and line breaks. Null and empty texts have no sentence: score 0. Repeated rows are scored alike. Without
-labels of both kinds every score is 0. Extra columns are ignored.
+labels of both kinds every score is 0. Extra columns are ignored. An empty table gives an empty result; very long texts are read
+whole. Only these ASCII marks end a sentence: a text of a script that has others is one sentence, scored as a whole.
 """
 
 from __future__ import annotations
