@@ -95,7 +95,10 @@ def empty_rows(df):
     return anomaly.empty_rows(_gaps(df), "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@register("empty_columns", "customer", "SELECT 'nothing' AS \"column\"")
+_EMPTY = " UNION ALL ".join(f"SELECT '{name}' AS c, count(*) FILTER (WHERE NOT {_MISS.format(cell)}) AS filled FROM customer" for name, cell in (("c_name", "c_name"), ("nothing", "'n/a'")))
+
+
+@register("empty_columns", "customer", f'SELECT c AS "column" FROM ({_EMPTY}) t WHERE filled = 0')
 def empty_columns(df):
     return anomaly.empty_columns(df.select("c_name", F.lit("n/a").alias("nothing")), ["c_name", "nothing"])
 

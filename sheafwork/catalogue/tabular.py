@@ -366,7 +366,28 @@ def quality_score(df):
     return df.select("doc_id", F.round(ranking.quality_score((i % 10) / 10.0, (i % 7) / 7.0, F.lit(True), F.col("n_chars") > 100, i % 8), 6).alias("score"))
 
 
-@register("question_kinds", "conversations", None)
+def _asked(pattern: str) -> str:
+    return f"regexp_matches(q, '{pattern}')"
+
+
+_HITS = {kind: " + ".join(f"{_asked(chr(92) + 'b' + word + chr(92) + 'b')}::INT" for word in words) for kind, words in question.KEYWORDS.items()}
+_BOOSTS = {
+    "aggregation": _asked(r"\b(sum|total|average|count|how many|median|maximum|minimum)\b"),
+    "lookup": _asked(r"^(find|show|get|look up)\b"),
+    "summarization": _asked(r"^(summari[sz]e|describe|give .*(summary|overview))"),
+    "comparison": _asked(r"^compare\b|\b(vs|versus)\b"),
+}
+_FIRST = " ".join(f"WHEN {_asked(pattern)} THEN '{name}'" for name, pattern in question.FUNCTIONS)
+_KINDS = (
+    "WITH a AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user'), "
+    f"s AS (SELECT *, {', '.join(f'{_HITS[k]} + CASE WHEN {_BOOSTS[k]} THEN 1.5 ELSE 0 END AS {k}' for k in _HITS)}, CASE {_FIRST} ELSE 'sum' END AS function FROM a), "
+    "b AS (SELECT *, greatest(aggregation, lookup, summarization, comparison) AS best, aggregation + lookup + summarization + comparison AS whole FROM s) "
+    "SELECT conv_id, turn, CASE WHEN whole = 0 THEN 'lookup' WHEN aggregation = best THEN 'aggregation' WHEN lookup = best THEN 'lookup' WHEN summarization = best THEN 'summarization' ELSE 'comparison' END AS kind, "
+    "round(CASE WHEN whole = 0 THEN 0.25 ELSE CAST(best AS DOUBLE) / CAST(whole AS DOUBLE) END, 6) AS confidence, function FROM b"
+)
+
+
+@register("question_kinds", "conversations", _KINDS)
 def question_kinds(df):
     """Every user message classified as a question."""
     asked = df.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
