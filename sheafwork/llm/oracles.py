@@ -55,3 +55,23 @@ SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n
        coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
 FROM words LEFT JOIN each ON each.print = array_to_string(w, ' ')
 """
+
+#: op11: all phrases of 1 to 5 words are counted; for small tables.
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4), (5)) s(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+i AS (SELECT lang, unnest([array_to_string(ws[1:k - 1], ' '), array_to_string(ws[2:k], ' ')]) AS phrase, a AS longer FROM c WHERE k > 2),
+kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.longer >= 100 * c.a)),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+scored AS (SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n, cut, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts
+    JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+    JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[cut + 1:cuts.k], ' ') JOIN n ON n.lang = cuts.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM least QUALIFY rank <= 2000
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import collocations, hilbert, hnsw, langid, mixing, ngram_join, one_bit, oracles, packing, periodic, quality, tokens, toxicity, url_tree
 
-ORACLES: dict[str, str] = {"op8_hnsw": oracles.EMBEDDING_LINKS, "op10_ngram_jaccard": oracles.JACCARD_LINKS}
+ORACLES: dict[str, str] = {"op8_hnsw": oracles.EMBEDDING_LINKS, "op10_ngram_jaccard": oracles.JACCARD_LINKS, "op11_collocations": oracles.COLLOCATIONS}
 
 
 def queries() -> dict:

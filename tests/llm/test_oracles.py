@@ -8,7 +8,7 @@ from sheafwork.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name, table", [("op8_hnsw", "embeddings"), ("op10_ngram_jaccard", "documents")])
+@pytest.mark.parametrize("name, table", [("op8_hnsw", "embeddings"), ("op10_ngram_jaccard", "documents"), ("op11_collocations", "documents")])
 def test_equals_sql(spark, name, table):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
