@@ -5,11 +5,15 @@ Two names match if they are equal but for case, if their edit distance is at mos
 The join is exact and has no nested loop. If two names are within t edits and one is cut into t + 1 segments, some segment is
 in the other name unchanged and hardly displaced: at most i - 1 places for segment i from the left, t + 1 - i from the right.
 So the shorter name of a pair gives its segments, the longer one the substrings that may be one of them, and the two meet
-by equality. Pairs that meet are verified with Spark's bounded edit distance.
+by equality. Short segments meet by chance, so each name carries bits of its pairs of neighbouring letters: an edit changes at most four of
+these, and pairs that differ in more are dropped in the join itself. The rest is verified by edit distance there and then; only
+matches are shuffled again.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,24 +33,45 @@ def _start(i: Column, length: Column, edits: Column) -> Column:
     return ((i - 1) * size + F.greatest(F.lit(0), i - 1 - (edits + 1 - rest)) + 1).cast("int")
 
 
+def _mark(name: str) -> bytes:
+    """256 bits: for each hash value of a pair of neighbouring letters whether the name has it an odd number of times."""
+    bits = 0
+    for a, b in zip(name, name[1:]):
+        bits ^= 1 << (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA6B >> 11 & 255)
+    return bits.to_bytes(32, "little")
+
+
+def _marked(names: DataFrame) -> DataFrame:
+    """name and mark, four longs. Dealt out over all tasks: a few megabytes of names would else be cut up and compared by one."""
+    dealt = names.select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+
+    def marked(batches):
+        for batch in batches:
+            marks = np.frombuffer(b"".join(_mark(n) for n in batch.column(0).to_pylist()), "<i8").reshape(-1, 4)
+            mark = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(marks[:, k])) for k in range(4)], [f"w{k}" for k in range(4)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), mark], names=["name", "mark"])
+
+    return dealt.mapInArrow(marked, "name string, mark struct<w0:long,w1:long,w2:long,w3:long>")
+
+
 def _segments(names: DataFrame, distance: int, least: float) -> DataFrame:
     """name, edits, length, i, part: segments of each name for all numbers of edits that a longer partner may allow."""
     length = F.length("name")
     longest = F.ceil(length / least + 1e-6).cast("int") if least > 0 else F.lit(1 << 20)
     partners = F.sequence(length, F.greatest(longest, length + distance))
     allowed = F.transform(partners, lambda n: F.when(n - _edits(n, distance, least) <= length, _edits(n, distance, least)))
-    out = names.select("name", length.alias("length"), F.explode(F.array_compact(F.array_distinct(allowed))).alias("edits"))
+    out = names.select("name", "mark", length.alias("length"), F.explode(F.array_compact(F.array_distinct(allowed))).alias("edits"))
     # shorter than its segments: only the empty one is sure to be in the other name
     out = out.withColumn("i", F.explode(F.when(F.col("length") <= F.col("edits"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("edits") + 1))))
     start, stop = _start(F.col("i"), F.col("length"), F.col("edits")), _start(F.col("i") + 1, F.col("length"), F.col("edits"))
     part = F.when(F.col("length") <= F.col("edits"), "").otherwise(F.substring("name", start, stop - start))
-    return out.select(F.col("name").alias("shorter"), "edits", "length", "i", part.alias("part"))
+    return out.select(F.col("name").alias("shorter"), F.col("mark").alias("short_mark"), "edits", "length", "i", part.alias("part"))
 
 
 def _substrings(names: DataFrame, distance: int, least: float) -> DataFrame:
     """name, edits, length, i, part: what segment i of a partner of this length (not longer than the name) may be."""
     own = F.length("name")
-    out = names.select("name", own.alias("own"), _edits(own, distance, least).alias("edits"))
+    out = names.select("name", "mark", own.alias("own"), _edits(own, distance, least).alias("edits"))
     out = out.withColumn("length", F.explode(F.sequence(F.greatest(F.col("own") - F.col("edits"), F.lit(0)), F.col("own"))))
     tiny = F.col("length") <= F.col("edits")
     out = out.withColumn("i", F.explode(F.when(tiny, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("edits") + 1))))
@@ -56,23 +81,38 @@ def _substrings(names: DataFrame, distance: int, least: float) -> DataFrame:
     high = F.least(F.col("own") - size + 1, start + (F.col("i") - 1), start + more + (F.col("edits") + 1 - F.col("i")))
     at = F.when(tiny, F.array(F.lit(1))).when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
     out = out.withColumn("_size", F.when(tiny, 0).otherwise(size)).withColumn("_at", F.explode(at))
-    return out.select(F.col("name").alias("longer"), "edits", "length", "i", F.substring("name", F.col("_at"), F.col("_size")).alias("part")).distinct()
+    part = F.substring("name", F.col("_at"), F.col("_size")).alias("part")
+    return out.select(F.col("name").alias("longer"), F.col("mark").alias("long_mark"), "edits", "length", "i", part)
 
 
-def near_names(left: DataFrame, right: DataFrame, distance: int = DISTANCE, least: float = LEAST) -> DataFrame:
-    """left_name, right_name, distance for all matching pairs of lower-case names (column `name` of both frames)."""
-    left, right = (d.select(F.lower("name").alias("name")).where("name is not null").distinct() for d in (left, right))
-    key = ["edits", "length", "i", "part"]
+def _distance(a: str, b: str, in_bytes: bool) -> Column:
+    """Edits between two columns, in characters or in the bytes of their UTF-8 form (never fewer)."""
+    each = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") if in_bytes else F.col(c)
+    return F.levenshtein(each(a), each(b))
 
-    def one_way(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
-        met = _segments(short, distance, least).join(_substrings(long, distance, least), key).select("shorter", "longer").distinct()
-        return met.select(F.col("shorter").alias(a), F.col("longer").alias(b))
 
-    both = one_way(left, right, "left_name", "right_name").unionByName(one_way(right, left, "right_name", "left_name")).distinct()
-    longest = F.greatest(F.length("left_name"), F.length("right_name"))
-    edits = F.levenshtein("left_name", "right_name", 1 << 20)
+def _met(short: DataFrame, long: DataFrame, distance: int, least: float, in_bytes: bool) -> DataFrame:
+    """shorter, longer, distance for all matches of a marked name of the first frame with one of the second that is not shorter."""
+    met = _segments(short, distance, least).join(_substrings(long, distance, least), ["edits", "length", "i", "part"])
+    differ = sum((F.bit_count(F.col(f"short_mark.w{k}").bitwiseXOR(F.col(f"long_mark.w{k}"))) for k in range(1, 4)), F.bit_count(F.col("short_mark.w0").bitwiseXOR(F.col("long_mark.w0"))))
+    longest = F.length("longer")
     near = (F.col("distance") <= distance) | (longest == 0) | (1 - F.col("distance") / longest >= least)
-    return both.withColumn("distance", edits).where(near)
+    # an insertion or deletion changes three pairs of letters, a substitution four
+    met = met.where(differ <= 4 * F.col("edits") - (longest - F.length("shorter"))).withColumn("distance", _distance("shorter", "longer", in_bytes))
+    return met.where(F.col("distance") <= F.col("edits")).where(near).select("shorter", "longer", "distance").distinct()
+
+
+def near_names(left: DataFrame, right: DataFrame, distance: int = DISTANCE, least: float = LEAST, in_bytes: bool = False) -> DataFrame:
+    """left_name, right_name, distance for all matching pairs of lower-case names (column `name` of both frames).
+
+    With in_bytes edits are those of the UTF-8 bytes, as some engines' levenshtein counts them; lengths stay those in characters. Such a
+    distance is never under that in characters, so the segments find all pairs in either case.
+    """
+    left, right = (_marked(d.select(F.lower("name").alias("name")).where("name is not null").distinct()) for d in (left, right))
+    forth, back = _met(left, right, distance, least, in_bytes), _met(right, left, distance, least, in_bytes)
+    forth = forth.select(F.col("shorter").alias("left_name"), F.col("longer").alias("right_name"), "distance")
+    back = back.where(F.length("shorter") < F.length("longer"))  # equally long ones came forth
+    return forth.unionByName(back.select(F.col("longer").alias("left_name"), F.col("shorter").alias("right_name"), "distance"))
 
 
 def _first_leaders(block: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -95,11 +135,11 @@ def _first_leaders(block: DataFrame, pairs: DataFrame) -> DataFrame:
         edges = staging.stage_table(edges, "edges")
 
 
-def group_names(df: DataFrame, name: str, order: list[str], distance: int = DISTANCE, least: float = LEAST, first: int = FIRST) -> DataFrame:
+def group_names(df: DataFrame, name: str, order: list[str], distance: int = DISTANCE, least: float = LEAST, first: int = FIRST, in_bytes: bool = False) -> DataFrame:
     """df with `group_name`: each name joins the first group, in the order of opening, whose name it matches, else opens one of its own.
 
-    The result is that of a loop over all names and groups; the work is joins. Names are taken in stretches of their order, each twice as
-    long as the one before; a stretch is compared with itself, and its new groups then take all later names that match them, so what is
+    The result is that of a loop over all names and groups; the work is joins. Names are taken in stretches of their order, each four times
+    as long as all before; a stretch is compared with itself, and its new groups then take all later names that match them, so what is
     alike is settled early and later stretches have few pairs. Null names have no group.
     """
     key = F.lower(F.col(f"`{name}`"))
@@ -111,11 +151,13 @@ def group_names(df: DataFrame, name: str, order: list[str], distance: int = DIST
     while total:
         block = open_.where(F.col("rank") < upto).select("name", "rank")
         with_rank = lambda n, r: block.select(F.col("name").alias(n), F.col("rank").alias(r))  # noqa: B023, E731
-        pairs = near_names(block, block, distance, least).join(with_rank("left_name", "a"), "left_name").join(with_rank("right_name", "b"), "right_name").where("a < b")
-        pairs = staging.stage_table(pairs.select(F.col("left_name").alias("earlier"), F.col("right_name").alias("later")), "edges")
+        marked = _marked(block.select("name"))
+        pairs = _met(marked, marked, distance, least, in_bytes).join(with_rank("shorter", "a"), "shorter").join(with_rank("longer", "b"), "longer").where("a <> b")
+        earlier, later = (F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("shorter", "longer"), ("longer", "shorter")))
+        pairs = staging.stage_table(pairs.select(earlier.alias("earlier"), later.alias("later")).distinct(), "edges")
         leaders = staging.stage_table(_first_leaders(block, pairs), "leaders")
         others = open_.select("name", "rank").join(leaders.select("name"), "name", "left_anti")
-        hit = near_names(leaders, others, distance, least).join(leaders.select(F.col("name").alias("left_name"), F.col("rank").alias("leader")), "left_name")
+        hit = near_names(leaders, others, distance, least, in_bytes).join(leaders.select(F.col("name").alias("left_name"), F.col("rank").alias("leader")), "left_name")
         hit = hit.join(others.select(F.col("name").alias("right_name"), "rank"), "right_name").where("leader < rank")
         joined = hit.groupBy(F.col("right_name").alias("name")).agg(F.min("leader").alias("leader"))
         joined = joined.unionByName(leaders.select("name", F.col("rank").alias("leader")))
@@ -124,7 +166,7 @@ def group_names(df: DataFrame, name: str, order: list[str], distance: int = DIST
         open_ = staging.stage_table(open_.join(joined.select("name"), "name", "left_anti"), "open")
         if upto >= total or open_.isEmpty():
             break
-        upto = min(2 * upto, total)
+        upto = min(5 * upto, total)
     spelt = ranked.select(F.col("rank").alias("leader"), F.col("spelt").alias("group_name"))
     groups = (taken if taken is not None else ranked.select("name", F.col("rank").alias("leader"))).join(spelt, "leader").select(F.col("name").alias("_key"), "group_name")
     return df.join(groups, key == F.col("_key"), "left").drop("_key")

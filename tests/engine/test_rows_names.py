@@ -117,3 +117,26 @@ def test_side_by_side(spark):
     b = spark.createDataFrame([(9,), (8,), (7,)], "k int")
     got = rows.side_by_side({"a": a, "b": b}, {"a": ["k"], "b": [F.desc("k")]}, ["k", "v"]).orderBy("row_index").collect()
     assert [tuple(r) for r in got] == [(0, 1, "y", 9, None), (1, 3, "x", 8, None), (2, None, None, 7, None)]
+
+
+def test_edits_in_bytes(spark):
+    """An accent is one character but two bytes; SQL engines may count either."""
+    left = spark.createDataFrame([("éa êb",), ("plain",)], "name string")
+    right = spark.createDataFrame([("ea eb",), ("plàin",)], "name string")
+    found = lambda **k: sorted(tuple(r) for r in names.near_names(left, right, **k).collect())
+    assert found() == [("plain", "plàin", 1), ("éa êb", "ea eb", 2)]
+    assert found(in_bytes=True) == [("plain", "plàin", 2)]
+    df = spark.createDataFrame([(1, "éa êb"), (2, "ea eb"), (3, "ea ec")], "at int, sheet string")
+    assert [r.group_name for r in names.group_names(df, "sheet", ["at"], in_bytes=True).orderBy("at").collect()] == ["éa êb", "ea eb", "ea eb"]
+
+
+def test_few_edits_change_few_marks():
+    found = spellings(300, 7)
+    for a, b in zip(found, found[1:] + found[:1]):
+        differ = int.from_bytes(names._mark(a), "little") ^ int.from_bytes(names._mark(b), "little")
+        assert differ.bit_count() <= 4 * edit_distance(a, b) - abs(len(a) - len(b))
+
+
+def test_names_are_compared_by_all_tasks(spark):
+    df = spark.createDataFrame([(n,) for n in spellings(200, 3)], "name string")
+    assert names._marked(df.distinct()).rdd.getNumPartitions() == 4
