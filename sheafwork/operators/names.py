@@ -43,7 +43,8 @@ def _mark(name: str) -> bytes:
 
 def _marked(names: DataFrame) -> DataFrame:
     """name and mark, four longs. Dealt out over all tasks: a few megabytes of names would else be cut up and compared by one."""
-    dealt = names.select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+    # by another hash than the one that made them distinct, else Spark leaves the step out
+    dealt = names.select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
 
     def marked(batches):
         for batch in batches:
