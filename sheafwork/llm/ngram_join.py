@@ -5,11 +5,9 @@ class with a number of its own, and only classes are compared; ids come back las
 
 1. Every class gets a signature of TREES x DEPTH MinHash values. Tree t orders the classes by the values of its own
    DEPTH places: the sorted form of a prefix trie, in which a node of depth d is the run of classes that share d values.
-2. Matched prefixes are shortened until recall is reached. An audit compares the signatures of a stated set of classes
-   (AUDIT by hash) with those of all classes, in blocks; each pair it finds tells the longest prefix that its two ends
-   share in any tree. From DEPTH down, the first depth at which a share of RECALL of these pairs would have
-   met is taken, pairs weighted by the chance that they are within the threshold. Little evidence counts for
-   little: PRIOR pairs exactly at the threshold are added by formula.
+2. Prefixes are matched at the longest depth at which every pair at the threshold meets with a chance of RECALL or more, by the
+   formula of MinHash: more similar pairs meet more surely, whatever the corpus. Nothing is estimated from a sample; `audit` is kept
+   for measuring what a depth meets.
 3. Classes that share a node of that depth are candidates. Nodes that one class alone holds are dropped by a count.
    A node of very many classes is cut into blocks and each pair of blocks is a cell of its own, so no cell is larger
    than two blocks.
@@ -150,7 +148,8 @@ def audit(classes: DataFrame, jaccard: float = JACCARD, sample: int = AUDIT) ->
 
 
 def prefix_depth(weights: dict[int, float], jaccard: float = JACCARD, recall: float = RECALL) -> tuple[int, float]:
-    """The longest prefix, from DEPTH down, at which the audit reaches `recall`, and the recall measured there."""
+    """The longest prefix, from DEPTH down, at which the weights of an audit reach `recall`, and the recall measured there; without
+    weights the longest at which a pair at the threshold meets with that chance."""
     total = sum(weights.values())
     for d in range(DEPTH, 0, -1):
         met = sum(w for k, w in weights.items() if k >= d)
@@ -309,8 +308,8 @@ def joined(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL) ->
     known = signed.where(F.col("print").isNotNull()).groupBy("print")
     classes = known.agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "hash")).alias("row"), F.count("*").alias("size"), F.first("signature").alias("signature"))
     classes = stage_table(classes.withColumn("cls", F.monotonically_increasing_id()), "ngram-classes")
-    depth, measured = prefix_depth(audit(classes, jaccard), jaccard, recall)
-    logging.getLogger(__name__).info("prefixes of %d values, audited recall %.5f", depth, measured)
+    depth, _ = prefix_depth({}, jaccard, recall)  # no sample has a say in it
+    logging.getLogger(__name__).info("prefixes of %d values, a pair at the threshold meets with chance %.5f", depth, meeting_chance(jaccard, depth))
     least = jaccard - 5.5 * math.sqrt(jaccard * (1 - jaccard) / (TREES * DEPTH))
     named = stage_table(partners(candidate_cells(classes, depth), depth, least), "ngram-named")
     found = stage_table(verified(named, docs, classes, depth, least, jaccard), "ngram-links")
