@@ -10,6 +10,8 @@ from ..sources import readers, workbook
 from . import tabular
 
 QUERIES: dict[str, tuple] = {}
+#: Rows of a sheet that is to be read by several tasks: a task for each stretch of so many.
+SHEET_ROWS = 50_000
 
 
 def register(name: str, table: str, sql: str | None = None):
@@ -49,8 +51,11 @@ def workbook_table(df):
 def workbook_types(df):
     """Types survive the file: kinds of the columns that are read back, by majority, and the number of rows."""
     born = F.date_add(F.lit("1980-01-01").cast("date"), F.col("c_custkey").cast("int") % 9000)
-    path = _book(df.select("c_custkey", "c_name", "c_acctbal", born.alias("born"), (F.col("c_acctbal") > 0).alias("rich")))
-    table = readers.read_workbooks(df.sparkSession, path, "table").drop("file_name", "row_idx")
+    columns = df.select("c_custkey", "c_name", "c_acctbal", born.alias("born"), (F.col("c_acctbal") > 0).alias("rich"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = _book(columns.repartition(parts, "c_custkey"), sheetRows=str(SHEET_ROWS))
+    table = readers.read_workbooks(df.sparkSession, path, "table", continued="true").drop("file_name", "row_idx")
+    table = staging.stage_table(table, "sheet-table")  # its XML is read once
     return readers.infer_types(table).crossJoin(table.agg(F.count("*").alias("n")))
 
 

@@ -7,7 +7,8 @@
 Reading plans one partition for each sheet of each file and streams it; comparisons of file_name, sheet_name and row_idx
 are pushed down: files and sheets that can't match are not opened for reading, and a stream ends at the last row asked for. The option
 `content` names what is read from a workbook's parts: rows (default), table (one sheet under its header row),
-sheets, merged, names, tables, pivots or charts. Paths may lie in any store that Arrow opens by scheme.
+sheets, merged, names, tables, pivots or charts. With the option `continued` a table goes on in the sheets right after its own that are
+named like it with _2, _3 and so on, as the sink names what a sheet has no room for; each is read by a task of its own. Paths may lie in any store that Arrow opens by scheme.
 A file that is no workbook gives one row with its `error` in rows and sheets, and nothing elsewhere.
 """
 
@@ -92,6 +93,11 @@ def _pick(book: Package, sheet: str | None) -> str | None:
     return next((part for name, part, hidden in book.sheets() if (name == sheet if sheet else not hidden)), None)
 
 
+def _further(sheet: str, n: int) -> str:
+    """What the sink calls the n-th sheet of a table."""
+    return f"{sheet[: 30 - len(str(n))]}_{n}"
+
+
 def header_of(book: Package, part: str) -> tuple[int, list[str]]:
     """Row number and unique names of the header: of rows 1 to 5 the first with most 2 x texts + filled cells."""
     from .readers import unique_names
@@ -108,6 +114,7 @@ def header_of(book: Package, part: str) -> tuple[int, list[str]]:
 class WorkbookReader(DataSourceReader):
     def __init__(self, options, content: str, schema: StructType):
         self.path, self.sheet, self.content, self.spark_schema = options["path"], options.get("sheet"), content, schema
+        self.continued = str(options.get("continued", "false")).lower() == "true"
         self.files = self.sheets = None
         self.first, self.last = 1, None
 
@@ -135,7 +142,11 @@ class WorkbookReader(DataSourceReader):
                 own = [SheetPartition(path, name, part, i, hidden) for i, (name, part, hidden) in enumerate(book.sheets())]
                 if self.content == "table":
                     part = _pick(book, self.sheet)
-                    own = [s for s in own if s.part == part]
+                    first = next((i for i, s in enumerate(own) if s.part == part), len(own))
+                    more = first + 1
+                    while self.continued and more < len(own) and own[more].sheet == _further(own[first].sheet, more - first + 1):
+                        more += 1
+                    own = own[first:more]
         except _BROKEN as error:
             return [SheetPartition(path, error=f"{type(error).__name__}: {error}")]
         return [s for s in own if self.sheets is None or s.sheet in self.sheets]

@@ -1,7 +1,7 @@
 """The workbook sink: tasks write rows of sheets as chunks of XML beside the target, the commit streams them into one file.
 
 Options: `sheet` (name, default Export), `sheetBy` (a column whose values name the sheets; it is not written), `merge` (columns, separated by commas, in
-which equal values one below the other become one merged cell). Types are kept: numbers, booleans, dates and times
+which equal values one below the other become one merged cell), `sheetRows` (rows after which a sheet goes on in a further one). Types are kept: numbers, booleans, dates and times
 as such, with number formats by the column's role; nested values are JSON texts. Sheets over a workbook's row limit go on in
 further sheets. Rows come in the order of the partitions; sort before writing for an order of your own.
 
@@ -126,6 +126,7 @@ class WorkbookWriter(DataSourceArrowWriter):
             raise ValueError("a workbook's path ends with .xlsx")
         self.sheet, self.by = options.get("sheet", "Export"), options.get("sheetby")
         names = schema.names
+        self.sheet_rows = min(int(options.get("sheetrows", SHEET_ROWS)), SHEET_ROWS)
         if self.by is not None and self.by not in names:
             raise ValueError(f"no column {self.by}")
         self.columns = [i for i, n in enumerate(names) if n != self.by]
@@ -150,7 +151,7 @@ class WorkbookWriter(DataSourceArrowWriter):
             for sheet, row in zip(sheets, zip(*columns) if columns else [()] * batch.num_rows):
                 sheet = "None" if sheet is None else str(sheet)
                 at = open_.get(sheet)
-                if at is None or at.chunk.rows == CHUNK_ROWS:
+                if at is None or at.chunk.rows == min(CHUNK_ROWS, max(self.sheet_rows - 1, 1)):
                     if at:
                         done.append(at.close())
                     at = open_[sheet] = _Sheet(store, self.folder, sheet)
@@ -170,7 +171,7 @@ class WorkbookWriter(DataSourceArrowWriter):
                 sheets.setdefault(c.sheet, []).append(c)
         if self.by is None:
             sheets.setdefault(self.sheet, [])
-        books = [(name, part) for name, chunks in (sorted(sheets.items()) or [(self.sheet, [])]) for part in _within_limit(chunks)]
+        books = [(name, part) for name, chunks in (sorted(sheets.items()) or [(self.sheet, [])]) for part in _within_limit(chunks, self.sheet_rows)]
         titles = _titles([name for name, _ in books])
         new = f"{self.folder}/book.xlsx"
         with store.open_output_stream(new) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
@@ -202,11 +203,11 @@ class WorkbookWriter(DataSourceArrowWriter):
         store.delete_dir(self.folder)
 
 
-def _within_limit(chunks: list[Chunk]) -> list[list[Chunk]]:
-    """Chunks of one sheet after another, none with more rows than a sheet can hold below its header."""
+def _within_limit(chunks: list[Chunk], limit: int | None = None) -> list[list[Chunk]]:
+    """Chunks of one sheet after another, none with more rows than a sheet may hold with its header."""
     out, rows = [[]], 0
     for c in chunks:
-        if rows + c.rows >= SHEET_ROWS:
+        if out[-1] and rows + c.rows >= (limit or SHEET_ROWS):
             out.append([])
             rows = 0
         out[-1].append(c)
@@ -217,12 +218,16 @@ def _within_limit(chunks: list[Chunk]) -> list[list[Chunk]]:
 def _titles(names: list[str]) -> list[str]:
     """Sheet names as workbooks allow them: 31 characters, none of []:*?/\\, no two alike."""
     out: list[str] = []
+    taken: set[str] = set()
+    last: dict[str, int] = {}
     for name in names:
         base = re.sub(r"[\[\]:*?/\\]", "_", name)[:31] or "Sheet"
-        title, n = base, 1
-        while title.lower() in (t.lower() for t in out):
+        title, n = base, last.get(base, 1)
+        while title.lower() in taken:
             n += 1
             title = f"{base[: 30 - len(str(n))]}_{n}"
+        last[base] = n
+        taken.add(title.lower())
         out.append(title)
     return out
 
