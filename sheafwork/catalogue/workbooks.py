@@ -97,8 +97,12 @@ _LANGUAGES = (
 def sheet_languages(df):
     """The language of each sheet of a written workbook, from its first rows."""
     title = F.when(F.col("lang") == "de", F.concat(F.lit("รายงานยอดขายประจำปี "), F.col("doc_id").cast("string"))).when(F.col("lang") == "fr", "ยอดขาย sales").otherwise(F.regexp_extract("text", r"^\S+", 0))
-    path = _book(df.select("lang", "doc_id", title.alias("title")).coalesce(1).sortWithinPartitions("lang", "doc_id").drop("doc_id"), sheetBy="lang")
-    return sheets.sheet_languages(readers.read_workbooks(df.sparkSession, path)).drop("file_name")
+    # thin rows are written once by all tasks; the ranges of their order follow each other in the file
+    titles = staging.stage_table(df.select("lang", "doc_id", title.alias("title")), "titles")
+    path = _book(titles.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").drop("doc_id"), sheetBy="lang")
+    found = sheets.sheet_languages(readers.read_workbooks(df.sparkSession, path)).drop("file_name")
+    # over a sheet's row limit a language goes on in further sheets, whose first rows are not its first
+    return found.join(titles.select(F.coalesce("lang", F.lit("None")).alias("sheet_name")).distinct(), "sheet_name", "left_semi")
 
 
 _PIVOT = (
