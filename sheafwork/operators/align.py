@@ -83,24 +83,43 @@ def column_pairs(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, str]
     return [(t1, c1, t2, c2) for (t1, d1), (t2, d2) in combinations(tables.items(), 2) for c1 in d1.columns for c2 in d2.columns]
 
 
+#: Types whose different values are different texts, and the type they are counted in.
+_OWN = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint", "bigint": "bigint", "float": "float", "double": "double", "date": "date", "boolean": "boolean"}
+
+
+def _counted(df: DataFrame, columns: dict[int, str]) -> list[DataFrame]:
+    """col, raw (as text) and n for the values of some columns, numbered; columns of one type are counted together."""
+    kinds: dict[str, list[int]] = {}
+    types = dict(df.dtypes)
+    for i, c in columns.items():
+        kinds.setdefault(_OWN.get(types[c], "string"), []).append(i)
+    out = []
+    for kind, own in kinds.items():
+        each = [F.struct(F.lit(i).alias("col"), F.col(f"`{columns[i]}`").cast(kind).alias("value")) for i in own]
+        cells = df.select(F.explode(F.array(*each)).alias("r")).select("r.*").where("value is not null")
+        # grouping takes zeros for equal whose texts differ
+        zero = [F.when(F.col("value") == 0, F.col("value").cast("string")).alias("zero")] if kind in ("float", "double") else []
+        counts = cells.groupBy("col", "value", *zero).agg(F.count("*").alias("n"))
+        raw = F.coalesce("zero", F.col("value").cast("string")) if zero else F.col("value").cast("string")
+        out.append(counts.select("col", raw.alias("raw"), "n"))
+    return out
+
+
 def relationships(tables: dict[str, DataFrame], pairs: list[tuple[str, str, str, str]] | None = None, least: float = 0.5) -> DataFrame:
     """For pairs (table, column, table, column), or all pairs of columns of different tables: name similarity,
     overlap, uniqueness, confidence, type and the join that suits. Pairs under `least` confidence are left out.
 
-    Each table is read once, whatever the number of pairs: cells are counted by column and value, and each value's
-    columns (at most all of them) give the pairs that share it. A column without values overlaps with nothing."""
+    Each table's columns are read once, whatever the number of pairs: cells are counted by column and value, in the column's own type, so
+    that only different values become texts; each value's columns (at most all of them) give the pairs that share it. A column
+    without values overlaps with nothing."""
     spark = next(iter(tables.values())).sparkSession
     pairs = column_pairs(tables) if pairs is None else pairs
     columns = sorted({tc for t1, c1, t2, c2 in pairs for tc in ((t1, c1), (t2, c2))})
     place = {tc: i for i, tc in enumerate(columns)}
-    parts = []
-    for name, df in tables.items():
-        own = [F.struct(F.lit(i).alias("col"), F.col(f"`{c}`").cast("string").alias("raw")) for i, (t, c) in enumerate(columns) if t == name]
-        if own:
-            parts.append(df.select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+    parts = [p for name, df in tables.items() for p in _counted(df, {i: c for i, (t, c) in enumerate(columns) if t == name})]
     if not parts:
         return spark.createDataFrame([], "table_1 string, column_1 string, table_2 string, column_2 string, name_similarity double, overlap double, confidence double, relationship string, join_type string")
-    counted = reduce(lambda x, y: x.unionByName(y), parts).where("raw is not null").groupBy("col", "raw").agg(F.count("*").alias("n"))
+    counted = reduce(lambda x, y: x.unionByName(y), parts)
     # both groupings by value find their rows together
     cells = counted.withColumn("v", F.lower(F.trim("raw"))).repartition("v").groupBy("v", "col").agg(F.count("*").alias("raws"), F.sum("n").alias("n"))
     held = cells.groupBy("v").agg(F.collect_list(F.struct("col", "raws", "n")).alias("held"))
