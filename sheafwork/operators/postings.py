@@ -12,13 +12,19 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from . import rows, staging
+from . import staging
 
 BLOCK, PROMISING, ROW_GROUP = 128, 8, 1 << 20
 
@@ -27,6 +33,65 @@ def _part(tf: Column, length: Column, mean: float, k1: float, b: float) -> Colum
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
+def _tokens(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """id, length, terms and counts: each text's different words, counted where the text is read, so no single word is shuffled."""
+    read = docs.select(F.col(id_column).alias("id"), F.encode(F.lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8").alias("text"))
+
+    def counted(batches):
+        for batch in batches:
+            lengths, terms, counts = [], [], []
+            for value in batch.column(1):
+                words = value.as_py().split()  # of bytes: at ASCII white space alone
+                n = Counter(words)
+                lengths.append(len(words))
+                terms.append([w.decode("utf-8", "replace") for w in n])
+                counts.append(list(n.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["id", "length", "terms", "counts"])
+
+    return read.mapInArrow(counted, StructType([read.schema["id"], *StructType.fromDDL("length int, terms array<string>, counts array<bigint>")]))
+
+
+def _blocks(laid: DataFrame, mean: float, k1: float, b: float) -> DataFrame:
+    """The postings of documents that lie sorted in partitions: a row for each term of a block, and one without a term for the block.
+
+    A block is cut within a partition, so it is whole where it is made; the last one of a partition may be shorter.
+    """
+
+    def one(docs: pa.Table, block: int) -> pa.RecordBatch:
+        ids, length = docs["id"].combine_chunks(), docs["length"].to_numpy()
+        terms = pc.list_flatten(docs["terms"]).combine_chunks().dictionary_encode()
+        tf = pc.list_flatten(docs["counts"]).to_numpy()
+        doc = np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs["terms"]).to_numpy())
+        code = terms.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # each term's documents stay in order
+        starts = np.searchsorted(code[order], np.arange(len(terms.dictionary)))
+        doc, tf = doc[order], tf[order]
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc] / mean))
+        best = np.maximum.reduceat(part, starts) if len(starts) else np.zeros(0)
+        offsets = pa.array(np.r_[starts, len(doc), len(doc) + docs.num_rows].astype(np.int32))
+        rows = np.r_[doc, np.arange(docs.num_rows)]
+        lists = [ids.take(pa.array(rows)), pa.array(np.r_[tf, np.zeros(docs.num_rows, np.int64)]), pa.array(length[rows].astype(np.int32))]
+        names = pa.concat_arrays([terms.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+        columns = [names, pa.array(np.full(len(names), block)), *[pa.ListArray.from_arrays(offsets, x) for x in lists], pa.array(np.r_[best, 0.0])]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "block", "ids", "counts", "lengths", "best"])
+
+    def cut(batches):
+        block, rest = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            whole = now.num_rows - now.num_rows % BLOCK
+            for at in range(0, whole, BLOCK):
+                yield one(now.slice(at, BLOCK), block)
+                block += 1
+            rest = now.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield one(rest, block)
+
+    kind = laid.schema["id"].dataType.simpleString()
+    return laid.mapInArrow(cut, f"term string, block bigint, ids array<{kind}>, counts array<bigint>, lengths array<int>, best double")
+
+
 @dataclass
 class PostingIndex:
     spark: SparkSession
@@ -38,19 +103,15 @@ class PostingIndex:
     def build(cls, docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> PostingIndex:
         """Write the index of lower-case white-space words. Null texts are empty; ids are kept as they are."""
         spark = docs.sparkSession
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
-        tokens = docs.select(F.col(id_column).alias("id"), words.alias("words"))
-        lengths = rows.row_numbers(tokens.select("id", F.size("words").alias("length")), ["length", "id"])
-        lengths.select("id", "length", F.floor(F.col("row_idx") / BLOCK).cast("long").alias("block")).write.parquet(f"{path}/documents")
-        documents = spark.read.parquet(f"{path}/documents")
-        documents.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/statistics")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tokens = staging.stage_table(_tokens(docs, id_column, text), "tokens")
+        tokens.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/statistics")
         mean = spark.read.parquet(f"{path}/statistics").first().mean or 1.0
-        each = tokens.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")).join(documents, "id")
-        best = F.max(_part(F.col("tf"), F.col("length"), mean, k1, b)).alias("best")
-        lists = F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p")  # at most BLOCK documents
-        blocks = each.groupBy("term", "block").agg(lists, best)
-        blocks = blocks.select("term", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("counts"), F.col("p.length").alias("lengths"), "best")
-        ranged = blocks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "term", "block").sortWithinPartitions("term", "block")
+        laid = tokens.repartitionByRange(parts, "length", "id").sortWithinPartitions("length", "id")
+        blocks = staging.stage_table(_blocks(laid, mean, k1, b), "blocks")
+        whole = blocks.where("term is null").select(F.explode(F.arrays_zip("ids", "lengths")).alias("p"), "block")
+        whole.select(F.col("p.ids").alias("id"), F.col("p.lengths").alias("length"), "block").write.parquet(f"{path}/documents")
+        ranged = blocks.where("term is not null").repartitionByRange(parts, "term", "block").sortWithinPartitions("term", "block")
         ranged.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", 2000).parquet(f"{path}/postings")
         index = cls(spark, path, k1, b)
         terms = index.postings().groupBy("term").agg(F.sum(F.size("ids")).alias("df"))
