@@ -94,13 +94,14 @@ def _distance(a: str, b: str, in_bytes: bool) -> Column:
 
 def _met(short: DataFrame, long: DataFrame, distance: int, least: float, in_bytes: bool) -> DataFrame:
     """shorter, longer, distance for all matches of a marked name of the first frame with one of the second that is not shorter."""
-    met = _segments(short, distance, least).join(_substrings(long, distance, least), ["edits", "length", "i", "part"])
+    # both sides are shuffled: their size before they are cut up, which Spark goes by, would have it broadcast a side hundreds of times as large
+    met = _segments(short, distance, least).hint("merge").join(_substrings(long, distance, least), ["edits", "length", "i", "part"])
     differ = sum((F.bit_count(F.col(f"short_mark.w{k}").bitwiseXOR(F.col(f"long_mark.w{k}"))) for k in range(1, 4)), F.bit_count(F.col("short_mark.w0").bitwiseXOR(F.col("long_mark.w0"))))
-    longest = F.length("longer")
-    near = (F.col("distance") <= distance) | (longest == 0) | (1 - F.col("distance") / longest >= least)
-    # an insertion or deletion changes three pairs of letters, a substitution four
-    met = met.where(differ <= 4 * F.col("edits") - (longest - F.length("shorter"))).withColumn("distance", _distance("shorter", "longer", in_bytes))
-    return met.where(F.col("distance") <= F.col("edits")).where(near).select("shorter", "longer", "distance").distinct()
+    longest, edits = F.length("longer"), _distance("shorter", "longer", in_bytes)
+    near = (edits <= distance) | (longest == 0) | (1 - edits / longest >= least)
+    # an insertion or deletion changes three pairs of letters, a substitution four; one condition, in this order: most pairs fail by their marks
+    met = met.where((differ <= 4 * F.col("edits") - (longest - F.length("shorter"))) & (edits <= F.col("edits")) & near)
+    return met.select("shorter", "longer", edits.alias("distance")).distinct()
 
 
 def near_names(left: DataFrame, right: DataFrame, distance: int = DISTANCE, least: float = LEAST, in_bytes: bool = False) -> DataFrame:

@@ -140,3 +140,12 @@ def test_few_edits_change_few_marks():
 def test_names_are_compared_by_all_tasks(spark):
     df = spark.createDataFrame([(n,) for n in spellings(200, 3)], "name string")
     assert names._marked(df.distinct()).rdd.getNumPartitions() == 4
+
+
+def test_names_cut_up_are_not_broadcast(spark):
+    """A few names by size, hundreds of rows each once cut up: neither side may go through the driver."""
+    frame = lambda seed: spark.createDataFrame([(n,) for n in spellings(200, seed)], "name string")
+    found = names.near_names(frame(3), frame(4))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()  # the one that ran
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "SortMergeJoin" in plan
