@@ -5,8 +5,8 @@ Two names match if they are equal but for case, if their edit distance is at mos
 The join is exact and has no nested loop. If two names are within t edits and one is cut into t + 1 segments, some segment is
 in the other name unchanged and hardly displaced: at most i - 1 places for segment i from the left, t + 1 - i from the right.
 So the shorter name of a pair gives its segments, the longer one the substrings that may be one of them, and the two meet
-by equality. Short segments meet by chance, so each name carries bits of its pairs of neighbouring letters: an edit changes at most four of
-these, and pairs that differ in more are dropped in the join itself. The rest is verified by edit distance there and then; only
+by equality. Short segments meet by chance, so each name carries bits of its letters and of its pairs of neighbouring letters: an edit changes
+at most two and four of these, and pairs that differ in more are dropped in the join itself. The rest is verified by edit distance there and then; only
 matches are shuffled again.
 """
 
@@ -27,10 +27,17 @@ def _edits(length: Column, distance: int, least: float) -> Column:
     return F.greatest(F.lit(distance), F.floor(length * (1 - least) + 1e-6)).cast("int")
 
 
-def _start(i: Column, length: Column, edits: Column) -> Column:
-    """Where segment i (from 1) of a name begins (from 1): the last ones are longer by one where it doesn't come out even."""
-    size, rest = F.floor(length / (edits + 1)), length % (edits + 1)
-    return ((i - 1) * size + F.greatest(F.lit(0), i - 1 - (edits + 1 - rest)) + 1).cast("int")
+def _pieces(names: DataFrame) -> DataFrame:
+    """names with i, start, size for each segment of a name of `length` letters cut for `edits`; all are counted from 1, the last ones are longer by
+    one where it doesn't come out even. If there are fewer letters than segments, only the empty one is sure to be in the other name.
+
+    What is used twice has a column of its own: one expression for all would grow too large for the JVM to compile.
+    """
+    tiny, segments, i = F.col("length") <= F.col("edits"), F.col("edits") + 1, F.col("i")
+    out = names.withColumn("even", F.when(tiny, 0).otherwise(F.floor(F.col("length") / segments)).cast("int")).withColumn("short", F.when(tiny, 1).otherwise(segments - F.col("length") % segments))
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(1), F.when(tiny, 1).otherwise(segments))))
+    start = (i - 1) * F.col("even") + F.greatest(F.lit(0), i - 1 - F.col("short")) + 1
+    return out.withColumn("start", start).withColumn("size", F.col("even") + (i > F.col("short")).cast("int")).drop("even", "short")
 
 
 def _mark(name: str) -> bytes:
@@ -41,67 +48,86 @@ def _mark(name: str) -> bytes:
     return bits.to_bytes(32, "little")
 
 
+def _letters(name: str) -> int:
+    """The same in 61 bits for single letters."""
+    bits = 0
+    for a in name:
+        bits ^= 1 << ord(a) % 61
+    return bits
+
+
 def _marked(names: DataFrame) -> DataFrame:
-    """name and mark, four longs. Dealt out over all tasks: a few megabytes of names would else be cut up and compared by one."""
+    """name and mark, four longs for pairs of letters and one for letters. Dealt out over all tasks: a few megabytes of names would else be cut up and compared by one."""
     # by another hash than the one that made them distinct, else Spark leaves the step out
     dealt = names.select("name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("name"))
 
     def marked(batches):
         for batch in batches:
-            marks = np.frombuffer(b"".join(_mark(n) for n in batch.column(0).to_pylist()), "<i8").reshape(-1, 4)
-            mark = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(marks[:, k])) for k in range(4)], [f"w{k}" for k in range(4)])
+            texts = batch.column(0).to_pylist()
+            marks = np.frombuffer(b"".join(map(_mark, texts)), "<i8").reshape(-1, 4)
+            words = [pa.array(np.ascontiguousarray(marks[:, k])) for k in range(4)] + [pa.array(list(map(_letters, texts)), "int64")]
+            mark = pa.StructArray.from_arrays(words, [f"w{k}" for k in range(5)])
             yield pa.RecordBatch.from_arrays([batch.column(0), mark], names=["name", "mark"])
 
-    return dealt.mapInArrow(marked, "name string, mark struct<w0:long,w1:long,w2:long,w3:long>")
+    return dealt.mapInArrow(marked, "name string, mark struct<w0:long,w1:long,w2:long,w3:long,w4:long>")
+
+
+def _meet() -> Column:
+    """Where segments and substrings meet, in eight bytes; what meets by chance alone is dropped with all else that doesn't match."""
+    return F.xxhash64("edits", "length", "i", F.substring("name", F.col("at"), F.col("size"))).alias("meet")
+
+
+def _carried(side: str) -> list[Column]:
+    """What is compared when names meet; plain columns, as a struct would be taken apart for each pair."""
+    return [F.col("name").alias(f"{side}er"), F.col("letters").alias(f"{side}_letters"), *[F.col(f"mark.w{k}").alias(f"{side}_w{k}") for k in range(5)]]
 
 
 def _segments(names: DataFrame, distance: int, least: float) -> DataFrame:
-    """name, edits, length, i, part: segments of each name for all numbers of edits that a longer partner may allow."""
+    """meet, shorter and what it carries: segments of each name for all numbers of edits that a longer partner may allow."""
     length = F.length("name")
     longest = F.ceil(length / least + 1e-6).cast("int") if least > 0 else F.lit(1 << 20)
     partners = F.sequence(length, F.greatest(longest, length + distance))
     allowed = F.transform(partners, lambda n: F.when(n - _edits(n, distance, least) <= length, _edits(n, distance, least)))
-    out = names.select("name", "mark", length.alias("length"), F.explode(F.array_compact(F.array_distinct(allowed))).alias("edits"))
-    # shorter than its segments: only the empty one is sure to be in the other name
-    out = out.withColumn("i", F.explode(F.when(F.col("length") <= F.col("edits"), F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("edits") + 1))))
-    start, stop = _start(F.col("i"), F.col("length"), F.col("edits")), _start(F.col("i") + 1, F.col("length"), F.col("edits"))
-    part = F.when(F.col("length") <= F.col("edits"), "").otherwise(F.substring("name", start, stop - start))
-    return out.select(F.col("name").alias("shorter"), F.col("mark").alias("short_mark"), "edits", "length", "i", part.alias("part"))
+    out = names.select("name", "mark", length.alias("letters"), length.alias("length"), F.explode(F.array_compact(F.array_distinct(allowed))).alias("edits"))
+    return _pieces(out).withColumnRenamed("start", "at").select(_meet(), *_carried("short"))
 
 
 def _substrings(names: DataFrame, distance: int, least: float) -> DataFrame:
-    """name, edits, length, i, part: what segment i of a partner of this length (not longer than the name) may be."""
-    own = F.length("name")
-    out = names.select("name", "mark", own.alias("own"), _edits(own, distance, least).alias("edits"))
-    out = out.withColumn("length", F.explode(F.sequence(F.greatest(F.col("own") - F.col("edits"), F.lit(0)), F.col("own"))))
-    tiny = F.col("length") <= F.col("edits")
-    out = out.withColumn("i", F.explode(F.when(tiny, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.col("edits") + 1))))
-    start, stop, more = _start(F.col("i"), F.col("length"), F.col("edits")), _start(F.col("i") + 1, F.col("length"), F.col("edits")), F.col("own") - F.col("length")
-    size = stop - start
-    low = F.greatest(F.lit(1), start - (F.col("i") - 1), start + more - (F.col("edits") + 1 - F.col("i")))
-    high = F.least(F.col("own") - size + 1, start + (F.col("i") - 1), start + more + (F.col("edits") + 1 - F.col("i")))
-    at = F.when(tiny, F.array(F.lit(1))).when(low <= high, F.sequence(low.cast("int"), high.cast("int")))
-    out = out.withColumn("_size", F.when(tiny, 0).otherwise(size)).withColumn("_at", F.explode(at))
-    part = F.substring("name", F.col("_at"), F.col("_size")).alias("part")
-    return out.select(F.col("name").alias("longer"), F.col("mark").alias("long_mark"), "edits", "length", "i", part)
-
-
-def _distance(a: str, b: str, in_bytes: bool) -> Column:
-    """Edits between two columns, in characters or in the bytes of their UTF-8 form (never fewer)."""
-    each = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") if in_bytes else F.col(c)
-    return F.levenshtein(each(a), each(b))
+    """meet, longer and what it carries, allowed: what segment i of a partner of each length (not longer than the name) may be."""
+    own, edits, i, start = F.length("name"), F.col("edits"), F.col("i"), F.col("start")
+    out = names.select("name", "mark", own.alias("letters"), _edits(own, distance, least).alias("edits"))
+    out = _pieces(out.withColumn("length", F.explode(F.sequence(F.greatest(F.col("letters") - edits, F.lit(0)), F.col("letters")))))
+    out = out.withColumn("more", F.col("letters") - F.col("length"))
+    low = F.greatest(F.lit(1), start - (i - 1), start + F.col("more") - (edits + 1 - i))
+    high = F.least(F.col("letters") - F.col("size") + 1, start + (i - 1), start + F.col("more") + (edits + 1 - i))
+    empty = F.col("length") <= edits
+    out = out.withColumn("low", F.when(empty, 1).otherwise(low)).withColumn("high", F.when(empty, 1).otherwise(high)).where("low <= high")
+    out = out.withColumn("at", F.explode(F.sequence("low", "high")))
+    # the most edits that verified names may have, without the rounding up
+    exact = F.when((edits <= distance) | (1 - edits / F.col("letters") >= least), edits).otherwise(edits - 1)
+    return out.select(_meet(), *_carried("long"), exact.alias("allowed"))
+
+
+def _byte_edits(a: str, b: str) -> Column:
+    """Edits of the UTF-8 bytes of two columns; never fewer than those of their characters."""
+    return F.levenshtein(*(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1") for c in (a, b)))
 
 
 def _met(short: DataFrame, long: DataFrame, distance: int, least: float, in_bytes: bool) -> DataFrame:
     """shorter, longer, distance for all matches of a marked name of the first frame with one of the second that is not shorter."""
     # both sides are shuffled: their size before they are cut up, which Spark goes by, would have it broadcast a side hundreds of times as large
-    met = _segments(short, distance, least).hint("merge").join(_substrings(long, distance, least), ["edits", "length", "i", "part"])
-    differ = sum((F.bit_count(F.col(f"short_mark.w{k}").bitwiseXOR(F.col(f"long_mark.w{k}"))) for k in range(1, 4)), F.bit_count(F.col("short_mark.w0").bitwiseXOR(F.col("long_mark.w0"))))
-    longest, edits = F.length("longer"), _distance("shorter", "longer", in_bytes)
-    near = (edits <= distance) | (longest == 0) | (1 - edits / longest >= least)
-    # an insertion or deletion changes three pairs of letters, a substitution four; one condition, in this order: most pairs fail by their marks
-    met = met.where((differ <= 4 * F.col("edits") - (longest - F.length("shorter"))) & (edits <= F.col("edits")) & near)
-    return met.select("shorter", "longer", edits.alias("distance")).distinct()
+    met = _segments(short, distance, least).hint("merge").join(_substrings(long, distance, least), "meet")
+    apart = [F.bit_count(F.col(f"short_w{k}").bitwiseXOR(F.col(f"long_w{k}"))) for k in range(5)]
+    pairs, letters = apart[0] + apart[1] + apart[2] + apart[3], apart[4]
+    more, allowed, edits = F.col("long_letters") - F.col("short_letters"), F.col("allowed"), F.levenshtein("shorter", "longer")
+    # an insertion or deletion changes three pairs of letters and one letter, a substitution four and two
+    like = (pairs <= 4 * allowed - more) & (letters <= 2 * allowed - more) & (more >= 0)
+    # one condition, in the order of cost: few pass the marks, and fewer the count that stops at the edits allowed
+    like = like & (F.call_function("levenshtein", F.col("shorter"), F.col("longer"), allowed) >= 0)
+    if in_bytes:
+        plain = (F.octet_length("shorter") == F.col("short_letters")) & (F.octet_length("longer") == F.col("long_letters"))
+        like, edits = like & (plain | (_byte_edits("shorter", "longer") <= allowed)), F.when(plain, edits).otherwise(_byte_edits("shorter", "longer"))
+    return met.where(like).select("shorter", "longer", edits.alias("distance")).distinct()
 
 
 def near_names(left: DataFrame, right: DataFrame, distance: int = DISTANCE, least: float = LEAST, in_bytes: bool = False) -> DataFrame:

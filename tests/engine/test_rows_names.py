@@ -149,3 +149,20 @@ def test_names_cut_up_are_not_broadcast(spark):
     found.collect()
     plan = found._jdf.queryExecution().executedPlan().toString()  # the one that ran
     assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_names_compared_with_themselves_are_not_broadcast(spark):
+    """The step that groups take, with marks compared before edits are counted."""
+    marked = names._marked(spark.createDataFrame([(n,) for n in spellings(200, 3)], "name string").distinct())
+    found = names._met(marked, marked, 3, 0.8, True)
+    assert {(r.shorter, r.longer) for r in found.collect() if r.shorter != r.longer}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+    condition = next(line for line in plan.splitlines() if "SortMergeJoin" in line)
+    assert condition.index("bit_count") < condition.index("levenshtein")
+
+
+def test_few_edits_change_few_letters():
+    found = spellings(300, 7)
+    for a, b in zip(found, found[1:] + found[:1]):
+        assert (names._letters(a) ^ names._letters(b)).bit_count() <= 2 * edit_distance(a, b) - abs(len(a) - len(b))
